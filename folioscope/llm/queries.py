@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from folioscope.llm import bpe
+from folioscope.llm import bpe, simhash
 
 
 def queries() -> dict:
-    return {"op9_byte_bpe": bpe.op9_byte_bpe}
+    return {"op2_simhash": simhash.op2_simhash, "op9_byte_bpe": bpe.op9_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
