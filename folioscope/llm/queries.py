@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from folioscope.llm import bpe, simhash
+from folioscope.llm import bpe, quality, simhash
 
 
 def queries() -> dict:
-    return {"op2_simhash": simhash.op2_simhash, "op9_byte_bpe": bpe.op9_byte_bpe}
+    return {"op2_simhash": simhash.op2_simhash, "op9_byte_bpe": bpe.op9_byte_bpe, "op10_quality": quality.op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
