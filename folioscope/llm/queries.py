@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from folioscope.llm import bpe, quality, simhash
+from folioscope.llm import bpe, language, licenses, quality, simhash, urls
 
 
 def queries() -> dict:
-    return {"op2_simhash": simhash.op2_simhash, "op9_byte_bpe": bpe.op9_byte_bpe, "op10_quality": quality.op10_quality}
+    return {
+        "op1_licenses": licenses.op1_licenses,
+        "op2_simhash": simhash.op2_simhash,
+        "op7_urls": urls.op7_urls,
+        "op8_language": language.op8_language,
+        "op9_byte_bpe": bpe.op9_byte_bpe,
+        "op10_quality": quality.op10_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
