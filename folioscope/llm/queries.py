@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from folioscope.llm import bpe, language, licenses, quality, simhash, urls
+from folioscope.llm import bpe, language, licenses, quality, sharding, simhash, urls, warc
 
 
 def queries() -> dict:
     return {
         "op1_licenses": licenses.op1_licenses,
         "op2_simhash": simhash.op2_simhash,
+        "op5_sharding": sharding.op5_sharding,
+        "op6_warc": warc.op6_warc,
         "op7_urls": urls.op7_urls,
         "op8_language": language.op8_language,
         "op9_byte_bpe": bpe.op9_byte_bpe,
@@ -17,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": warc.OP6_SQL}
