@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from folioscope.llm import bpe, language, licenses, quality, sharding, simhash, urls, warc
+from folioscope.llm import bpe, decontaminate, language, licenses, quality, sharding, simhash, substrings, urls, warc
 
 
 def queries() -> dict:
     return {
         "op1_licenses": licenses.op1_licenses,
         "op2_simhash": simhash.op2_simhash,
+        "op3_substrings": substrings.op3_substrings,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_sharding": sharding.op5_sharding,
         "op6_warc": warc.op6_warc,
         "op7_urls": urls.op7_urls,
