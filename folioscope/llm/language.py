@@ -124,6 +124,7 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 4, piece: int =
     c = len(languages)
     e = rng.normal(0, 0.1, (2 * BUCKETS, WIDTH)).astype(np.float32)
     w, b = np.zeros((WIDTH, c), np.float32), np.zeros(c, np.float32)
+    epochs = max(epochs, -(-400 * batch // max(1, len(rows))) if len(rows) < 100 * batch else epochs)  # small samples need more passes
     steps, step = epochs * -(-len(rows) // batch), 0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
@@ -152,8 +153,8 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 4, piece: int =
         model.temperature = float(min(loss, key=loss.get))
         p = softmax(logits / model.temperature)
         sure = p.max(1)[p.argmax(1) == y]
-        # one in a thousand right pieces would be rejected, and whole texts are surer than pieces
-        model.reject_below = float(min(0.6, np.quantile(sure, 0.001))) if len(sure) else 0.0
+        # at most one in a thousand right pieces would be rejected, and only what is hardly above chance
+        model.reject_below = float(min(1.3 / c, np.quantile(sure, 0.001))) if len(sure) and c > 1 else 0.0
     return model
 
 
