@@ -305,7 +305,7 @@ attempts AS (SELECT l_orderkey AS job_id, row_number() OVER (PARTITION BY l_orde
                     l_shipdate AS arrival, CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'succeeded' END AS state,
                     CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'timeout' ELSE 'memory' END END AS failure_code FROM lineitem),
 grants AS (SELECT c_custkey AS tenant, CAST(floor(c_acctbal) AS BIGINT) AS pages FROM customer WHERE c_acctbal > 0)"""
-_SPANS = """s AS (SELECT event_id, user_id, event_type, value, epoch_ms(ts) AS "start", epoch_ms(ts) + CAST(floor(abs(value) * 1000) AS BIGINT) + 1 AS stop FROM events)"""
+_SPANS = """s AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000 AS "start", epoch_us(ts) // 1000 + CAST(floor(abs(value) * 1000) AS BIGINT) + 1 AS stop FROM events)"""
 _PER_PAGE = """pd AS (SELECT coalesce(a.page_id, b.page_id) AS page_id, coalesce(native_count, 0) AS native_count, coalesce(ocr_count, 0) AS ocr_count, coalesce(recovered_count, 0) AS recovered_count,
              coalesce(match_count, 0) AS match_count, coalesce(first_matches, 0) AS first_matches, coalesce(unmatched_count, 0) AS unmatched_count, coalesce(conflict_count, 0) AS conflict_count,
              coalesce(low_count, 0) AS low_count, coalesce(sure_count, 0) AS sure_count, coalesce(alone_count, 0) AS alone_count
@@ -386,7 +386,7 @@ SELECT page_id, source, count(*) AS rows FROM u GROUP BY ALL""",
     "latest_samples": "SELECT event_type, count(*) AS samples, min(event_id) AS least_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 500 GROUP BY event_type",
     "interval_union": f"WITH {_SPANS}, {_MERGED.format(k='user_id')} SELECT user_id, \"start\", stop, parts FROM m",
     "covered_duration": f"WITH {_SPANS}, {_MERGED.format(k='event_type')} SELECT event_type, CAST(sum(stop - \"start\") AS BIGINT) AS covered, count(*) AS islands FROM m GROUP BY event_type",
-    "max_concurrency": f"WITH {_SPANS}, e AS (SELECT event_type, \"start\" AS at, 1 AS step FROM s UNION ALL SELECT event_type, stop, -1 FROM s), r AS (SELECT event_type, sum(step) OVER (PARTITION BY event_type ORDER BY at, step DESC ROWS UNBOUNDED PRECEDING) AS o FROM e) SELECT event_type, CAST(max(o) AS BIGINT) AS max_concurrency FROM r GROUP BY event_type",
+    "max_concurrency": f"WITH {_SPANS}, e AS (SELECT event_type, \"start\" AS t, 1 AS step FROM s UNION ALL SELECT event_type, stop, -1 FROM s), r AS (SELECT event_type, sum(step) OVER (PARTITION BY event_type ORDER BY t, step DESC ROWS UNBOUNDED PRECEDING) AS o FROM e) SELECT event_type, CAST(max(o) AS BIGINT) AS max_concurrency FROM r GROUP BY event_type",
     "interval_intersections": f"WITH {_SPANS} SELECT a.user_id, count(*) AS pairs, CAST(sum(least(a.stop, b.stop) - greatest(a.\"start\", b.\"start\")) AS BIGINT) AS shared FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' AND a.\"start\" < b.stop AND b.\"start\" < a.stop GROUP BY a.user_id",
     "reconcile_two_sided": "WITH b AS (SELECT o_orderkey AS id, 1 AS e, 0 AS s FROM orders UNION ALL SELECT l_orderkey, 0, 1 FROM lineitem), g AS (SELECT id, sum(e) AS e, CAST(sum(s) AS BIGINT) AS times FROM b GROUP BY id) SELECT id, CASE WHEN times = 0 THEN 'missing' WHEN e = 0 THEN 'unexpected' WHEN times > 1 THEN 'duplicate' ELSE 'ok' END AS state, times FROM g",
     "paired_cells": "SELECT lang, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS both, count(*) FILTER (WHERE quality = 1 AND toxic <> 1) AS a_only, count(*) FILTER (WHERE quality <> 1 AND toxic = 1) AS b_only, count(*) FILTER (WHERE quality <> 1 AND toxic <> 1) AS neither FROM labels JOIN documents USING (doc_id) GROUP BY lang",
