@@ -126,7 +126,7 @@ def luminance(r: Column, g: Column, b: Column) -> Column:
 
 def box_key(b: Box) -> Column:
     """Rounded box as text, whole numbers without a fraction (GEO22)."""
-    return F.concat_ws(",", *[F.regexp_replace(F.format_number(round_half_up(c), "0.##"), ",", "") for c in b])
+    return F.concat_ws(",", *[F.regexp_replace(F.call_function("format_number", round_half_up(c), F.lit("0.##")), ",", "") for c in b])
 
 
 def reading_key(b: Box, bucket: float = 12.0) -> list[Column]:

@@ -119,10 +119,13 @@ def word_tokens(c: Column, *, normalized: bool = False) -> Column:
     return F.regexp_extract_all(c if normalized else evidence_text(c), F.lit(WORD), F.lit(0))
 
 
-def similarity(a: Column, b: Column, *, normalized: bool = False) -> Column:
-    """0 to 1 (TXT8): 1 if equal (spaces aside), the ratio of lengths if one holds the other,
-    else the Dice coefficient of the multisets of words."""
-    a, b = (x if normalized else evidence_text(x) for x in (a, b))
+def similarity(a: Column, b: Column) -> Column:
+    """0 to 1 (TXT8) for two evidence forms: 1 if equal (spaces aside), the ratio of lengths if
+    one holds the other, else the Dice coefficient of the multisets of words.
+
+    The forms must be columns of their own, made before: they are used often, and a Python
+    function can't stand in a higher-order one.
+    """
     ca, cb = F.replace(a, F.lit(" "), F.lit("")), F.replace(b, F.lit(" "), F.lit(""))
     la, lb = F.length(ca).cast("double"), F.length(cb).cast("double")
     wa, wb = word_tokens(a, normalized=True), word_tokens(b, normalized=True)

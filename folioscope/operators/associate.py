@@ -42,7 +42,7 @@ def scored_pairs(cands: DataFrame, ocr: DataFrame, *, scale: float = K.REFERENCE
     pairs = left.join(right, ["page_id", "band"]).where(F.col("band") == F.greatest("first", "o_first"))
     o = G.box("o_")
     geometric = F.array_max(F.transform("members", lambda m: G.overlap_over_smaller((m["x0"], m["y0"], m["x1"], m["y1"]), o)))
-    textual = T.similarity(F.col("n_text"), F.col("o_text"), normalized=True)
+    textual = T.similarity(F.col("n_text"), F.col("o_text"))
     pairs = pairs.withColumns({"geometric": geometric, "textual": textual})
     return pairs.withColumn("score", F.col("textual") * K.TEXT_WEIGHT + F.col("geometric") * K.GEOMETRY_WEIGHT)
 
@@ -100,7 +100,7 @@ def attribute_to_regions(readings: DataFrame, regions: DataFrame) -> DataFrame:
     Regions of a page are few; both sides meet by page.
     """
     r = regions.select("page_id", "region", *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
-    pairs = readings.join(r, "page_id").withColumn("shared", G.intersection(G.box(), G.box("r_"))).where("shared > 0")
+    pairs = readings.select("page_id", "id", "x0", "y0", "x1", "y1").join(r, "page_id").withColumn("shared", G.intersection(G.box(), G.box("r_"))).where("shared > 0")
     return pairs.groupBy("page_id", "id").agg(F.min_by("region", F.struct(-F.col("shared"), F.col("region"))).alias("region"), F.max("shared").alias("shared"))
 
 
@@ -119,8 +119,13 @@ def coverage(native: DataFrame, ocr: DataFrame) -> DataFrame:
 def duplicate_evidence(recovered: DataFrame, known: DataFrame, *, overlap: float = K.DUPLICATE_OVERLAP, similar: float = K.MATCH_TEXT) -> DataFrame:
     """First known reading that a recovered one repeats (JOIN8, WIN3): half of its own box is
     shared, the texts are similar, the tokens agree."""
-    k = known.select("page_id", F.col("ord").alias("k_ord"), F.col("text").alias("k_text"), *[F.col(c).alias(f"k_{c}") for c in ("x0", "y0", "x1", "y1")])
+    return repeated_readings(recovered, known, overlap=overlap, similar=similar).groupBy("page_id", "id").agg(F.min("k_ord").alias("duplicate_of"))
+
+
+def repeated_readings(recovered: DataFrame, known: DataFrame, *, overlap: float = K.DUPLICATE_OVERLAP, similar: float = K.MATCH_TEXT) -> DataFrame:
+    """Every known reading that a recovered one may repeat: ``page_id``, ``id``, ``k_ord``."""
+    forms = lambda p: {f"{p}form": T.evidence_text(F.col("text")), f"{p}tokens": T.critical_tokens(F.col("text"))}
+    k = known.withColumns(forms("k_")).select("page_id", F.col("ord").alias("k_ord"), "k_form", "k_tokens", *[F.col(c).alias(f"k_{c}") for c in ("x0", "y0", "x1", "y1")])
     own = G.area(G.box())
-    pairs = recovered.join(k, "page_id").where((own > 0) & (G.intersection(G.box(), G.box("k_")) / own >= overlap))
-    pairs = pairs.where((T.similarity(F.col("text"), F.col("k_text")) >= similar) & T.tokens_agree(T.critical_tokens(F.col("text")), T.critical_tokens(F.col("k_text"))))
-    return pairs.groupBy("page_id", "id").agg(F.min("k_ord").alias("duplicate_of"))
+    pairs = recovered.withColumns(forms("r_")).join(k, "page_id").where((own > 0) & (G.intersection(G.box(), G.box("k_")) / own >= overlap))
+    return pairs.where((T.similarity(F.col("r_form"), F.col("k_form")) >= similar) & T.tokens_agree(F.col("r_tokens"), F.col("k_tokens"))).select("page_id", "id", "k_ord")

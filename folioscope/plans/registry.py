@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from folioscope.plans import relational
+from folioscope.plans import evidence, relational
 
 
 def queries() -> dict:
-    return dict(relational.QUERIES)
+    return {**relational.QUERIES, **evidence.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(relational.SQL)
+    return {**relational.SQL, **evidence.SQL}

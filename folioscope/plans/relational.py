@@ -86,8 +86,8 @@ def similarity(spark, d):
     _, native, ocr = _pages(spark, d)
     o = ocr.select("page_id", "ord", F.col("text").alias("read"))
     pair = native.join(o, ["page_id", "ord"])
-    clean = lambda c: T.evidence_text(F.col(c), fold=False)
-    return pair.select("page_id", F.col("ord").cast("long").alias("ord"), F.round(T.similarity(clean("text"), clean("read"), normalized=True), 6).alias("similarity"))
+    pair = pair.withColumns({c: T.evidence_text(F.col(c), fold=False) for c in ("text", "read")})
+    return pair.select("page_id", F.col("ord").cast("long").alias("ord"), F.round(T.similarity(F.col("text"), F.col("read")), 6).alias("similarity"))
 
 
 def occurrence_index(spark, d):
