@@ -42,14 +42,17 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
 
     Payloads are compared by their SHA-1. Of equal payloads of at least ``least_payload``
     bytes the page with the largest id is the response (rows that repeat this id are
-    responses too); a null id is a response only where no other has the payload. The join
-    that finds a page's response goes by digest, with the payload sent along; a digest that
-    many pages share is split by adaptive execution.
+    responses too); a null id is a response only where no other has the payload. Only
+    digests that occur twice are looked up; their table is written first, so that Spark knows
+    its size and sends the payloads through a shuffle only if it is too large to broadcast
+    (a digest that many pages share is then split by adaptive execution).
     """
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), F.coalesce(pages[body_col], F.lit("")).alias("body"))
     digest = F.sha1("body")
-    stored = rows.select("id", digest.alias("sha")).groupBy("sha").agg(F.max("id").alias("holder"))
-    known = rows.withColumn("sha", digest).join(stored, "sha")
+    stored = rows.select("id", digest.alias("sha")).groupBy("sha").agg(F.max("id").alias("holder"), F.count("*").alias("n"))
+    shared = materialize(stored.where("n > 1").select("sha", "holder"), "holders")
+    known = rows.withColumn("sha", digest).join(shared.withColumn("shared", F.lit(True)), "sha", "left")
+    known = known.withColumn("holder", F.when(F.col("shared"), F.col("holder")).otherwise(F.col("id")))
     size = F.octet_length("body")
     response = F.col("id").eqNullSafe(F.col("holder")) | (size < least_payload)
     urn = lambda c: F.concat(F.lit("<urn:md5:"), F.md5(F.coalesce(c.cast("string"), F.lit(""))), F.lit(">"))
