@@ -90,11 +90,12 @@ def fit_votes(patterns: DataFrame, rules: list[str], *, rounds: int = 30, tolera
 
     ``patterns`` holds the rules' votes and ``n``, how many documents vote so. A rule's
     accuracies are the share of its votes that are right on good and on bad documents; a rule
-    that calls everything good thus carries no weight. They stay in 0.02 to 0.98, together at
-    least 1 (no rule is taken to be worse than chance), the share in 0.05 to 0.95. No rows:
-    the start is returned.
+    that calls everything good thus carries no weight. The rules are written to spare good
+    documents, so the first stays in 0.95 to 0.99; without that bound a common kind of junk
+    could pass for good. The second stays in 0.05 to 0.98, the share in 0.05 to 0.95. No
+    rows: the start is returned.
     """
-    share, right = 0.8, dict.fromkeys(rules, (0.9, 0.6))
+    share, right = 0.8, dict.fromkeys(rules, (0.97, 0.3))
     clip = lambda x, lo, hi: min(hi, max(lo, x))
     for _ in range(rounds):
         p = posterior(share, right)
@@ -107,9 +108,9 @@ def fit_votes(patterns: DataFrame, rules: list[str], *, rounds: int = 30, tolera
             break
         new_share, new_right = clip(got["good"] / got["all"], 0.05, 0.95), {}
         for r in rules:
-            on_good = clip((got[f"good_hit_{r}"] + 0.9) / (got[f"good_of_{r}"] + 1), 0.02, 0.98)
-            on_bad = clip((got[f"bad_hit_{r}"] + 0.6) / (got[f"bad_of_{r}"] + 1), 0.02, 0.98)
-            new_right[r] = (on_good, max(on_bad, 1 - on_good))
+            on_good = clip((got[f"good_hit_{r}"] + 0.97) / (got[f"good_of_{r}"] + 1), 0.95, 0.99)
+            on_bad = clip((got[f"bad_hit_{r}"] + 0.3) / (got[f"bad_of_{r}"] + 1), 0.05, 0.98)
+            new_right[r] = (on_good, on_bad)
         moved = max(abs(new_share - share), *(abs(x - y) for r in rules for x, y in zip(new_right[r], right[r])))
         share, right = new_share, new_right
         if moved < tolerance:
