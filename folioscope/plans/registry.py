@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from folioscope.plans import evidence, relational
+from folioscope.plans import evidence, relational, reports
 
 
 def queries() -> dict:
-    return {**relational.QUERIES, **evidence.QUERIES}
+    return {**relational.QUERIES, **evidence.QUERIES, **reports.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**relational.SQL, **evidence.SQL}
+    return {**relational.SQL, **evidence.SQL, **reports.SQL}
