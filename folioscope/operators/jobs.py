@@ -142,3 +142,48 @@ def invariant_violations(jobs: DataFrame, attempts: DataFrame) -> DataFrame:
     for f in found[1:]:
         out = out.unionByName(f)
     return out
+
+
+def create_attempts(jobs: DataFrame, attempts: DataFrame) -> DataFrame:
+    """The one open attempt that a queued job without attempts gets (SQL12, STR16)."""
+    return jobs.where("state = 'queued'").join(attempts.select("job_id"), "job_id", "left_anti").select("job_id", F.lit(1).cast("long").alias("attempt"), F.lit("open").alias("state"))
+
+
+def finalize_uploads(jobs: DataFrame, uploads: DataFrame) -> DataFrame:
+    """Next version of uploading jobs (SQL9): queued if the stored size and digest are those
+    declared, failed if they differ, unchanged if nothing is stored."""
+    u = uploads.select("job_id", F.col("size").alias("_size"), F.col("sha256").alias("_sha"))
+    same = (F.col("size") == F.col("_size")) & (F.col("sha256") == F.col("_sha"))
+    state = F.when((F.col("state") != "uploading") | F.col("_size").isNull(), F.col("state")).when(same, "queued").otherwise("failed")
+    return jobs.join(u, "job_id", "left").withColumn("state", state).drop("_size", "_sha")
+
+
+def fail_attempts(attempts: DataFrame, failures: DataFrame) -> DataFrame:
+    """Next version of attempts (SQL10): an open one that failed; a closed one stays as it is."""
+    f = failures.select("job_id", "attempt", F.col("failure_code").alias("_code"))
+    hit = (F.col("state") == "open") & F.col("_code").isNotNull()
+    return attempts.join(f, ["job_id", "attempt"], "left").withColumns({"state": F.when(hit, "failed").otherwise(F.col("state")), "failure_code": F.when(hit, F.col("_code")).otherwise(F.col("failure_code"))}).drop("_code")
+
+
+def defer_attempts(attempts: DataFrame, now, wait: str = "5 minutes") -> DataFrame:
+    """Open attempts that are due are looked at again later (STR11)."""
+    at = F.lit(now).cast("timestamp")
+    due = (F.col("state") == "open") & (F.col("reconcile_after") <= at)
+    return attempts.withColumn("reconcile_after", F.when(due, at + F.expr(f"interval {wait}")).otherwise(F.col("reconcile_after")))
+
+
+def reconcile_decisions(attempts: DataFrame, remote: DataFrame, stored: DataFrame, *, most_attempts: int = 2) -> DataFrame:
+    """What to do with each open attempt (STR10, STR15): a stored result wins over whatever the
+    remote says; a remote failure is replaced while attempts are left; what runs is waited for.
+    ``remote``: job_id, attempt, remote_state; ``stored``: job_id, attempt."""
+    df = attempts.where("state = 'open'").join(remote, ["job_id", "attempt"], "left").join(stored.select("job_id", "attempt", F.lit(True).alias("has")), ["job_id", "attempt"], "left")
+    what = F.when(F.col("has"), "accept").when(F.col("remote_state") == "running", "defer").when(F.col("remote_state").isNull() | (F.col("remote_state") == "failed"), F.when(F.col("attempt") < most_attempts, "replace").otherwise("fail")).otherwise("inspect")
+    return df.select("job_id", "attempt", what.alias("decision"))
+
+
+def enrichment_state(plans: DataFrame, submitted: DataFrame, answers: DataFrame, digests: DataFrame) -> DataFrame:
+    """State of each planned page (STR6): stale if its record changed, complete if answered, else
+    submitted, pending, or unavailable where nothing is asked. ``plans``: page_id, base_digest, asked."""
+    df = plans.join(submitted.select("page_id", F.lit(True).alias("sent")).distinct(), "page_id", "left").join(answers.select("page_id", F.lit(True).alias("answered")).distinct(), "page_id", "left").join(digests, "page_id", "left")
+    state = F.when(~F.col("asked"), "unavailable").when(~F.col("digest").eqNullSafe(F.col("base_digest")), "stale").when(F.col("answered"), "complete").when(F.col("sent"), "submitted").otherwise("pending")
+    return df.select("page_id", state.alias("state"))
