@@ -197,6 +197,7 @@ def _refine(rows: DataFrame, refs: list[str], name: str) -> tuple[DataFrame, Dat
     identifier of a bucket that has several, with ``need``: whether it is the only one.
     """
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("second").alias("lo"), F.max("second").alias("hi")).where("n > 1").select("bucket", F.expr("lo = hi").alias("same"))
+    buckets = materialize(buckets, name)  # else the join would reuse the aggregation's partitions, which can't be split at a hot bucket
     live = materialize(rows.join(buckets, "bucket"), name)
     mixed = live.where("not same")
     parts = materialize(mixed.groupBy("bucket", "second").agg(F.count("*").alias("n"), F.min(F.struct(*refs)).alias("rep")), name)
@@ -274,7 +275,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     single = contexts.join(asked, "ctx").select("_k1", "_k2", "first", "bytes", "list").mapInArrow(windows, "bucket long, _k1 long, _k2 long, first int, need boolean")
     single = materialize(single, "windows")
-    twice = single.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    twice = materialize(single.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "repeated")
     in_windows = single.where("need").join(twice, "bucket").select("_k1", "_k2", "first", F.lit(1).alias("count"))
     in_cells = contexts.select("ctx", "_k1", "_k2", F.col("first").alias("base")).join(in_cells.where("asked"), "ctx").select("_k1", "_k2", (F.col("base") + F.col("first")).alias("first"), "count")
     found = whole.select("_k1", "_k2", "first", "count").unionByName(in_cells).unionByName(in_windows)
