@@ -43,7 +43,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
+    if spark.sparkContext._jsc is None:  # the session has ended; a local folder can still go
+        local = path.removeprefix("file://")
+        if local.startswith("/"):
+            shutil.rmtree(local, ignore_errors=True)
         return
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
