@@ -85,7 +85,7 @@ def rule_votes() -> dict[str, Column]:
     }
 
 
-def fit_votes(patterns: DataFrame, rules: list[str], *, rounds: int = 30, tolerance: float = 1e-6) -> tuple[float, dict[str, tuple[float, float]]]:
+def fit_votes(patterns: DataFrame, rules: list[str], *, rounds: int = 20, tolerance: float = 1e-3) -> tuple[float, dict[str, tuple[float, float]]]:
     """Share of good documents and the two accuracies of each rule, by expectation-maximisation.
 
     ``patterns`` holds the rules' votes and ``n``, how many documents vote so. A rule's
@@ -98,12 +98,12 @@ def fit_votes(patterns: DataFrame, rules: list[str], *, rounds: int = 30, tolera
     share, right = 0.8, dict.fromkeys(rules, (0.97, 0.3))
     clip = lambda x, lo, hi: min(hi, max(lo, x))
     for _ in range(rounds):
-        p = posterior(share, right)
-        sums = [F.sum(F.col("n") * p).alias("good"), F.sum("n").alias("all")]
+        weighed = patterns.withColumn("_p", posterior(share, right)).withColumns({"_good": F.col("n") * F.col("_p"), "_bad": F.col("n") * (1 - F.col("_p"))})
+        sums = [F.sum("_good").alias("good"), F.sum("n").alias("all")]
         for r in rules:
-            for name, chance, own in (("good", p, 1), ("bad", 1 - p, -1)):
-                sums += [F.sum(F.when(F.col(r) == own, F.col("n") * chance).otherwise(0.0)).alias(f"{name}_hit_{r}"), F.sum(F.when(F.col(r) != 0, F.col("n") * chance).otherwise(0.0)).alias(f"{name}_of_{r}")]
-        got = patterns.agg(*sums).first()
+            for name, own in (("good", 1), ("bad", -1)):
+                sums += [F.sum(F.when(F.col(r) == own, F.col(f"_{name}")).otherwise(0.0)).alias(f"{name}_hit_{r}"), F.sum(F.when(F.col(r) != 0, F.col(f"_{name}")).otherwise(0.0)).alias(f"{name}_of_{r}")]
+        got = weighed.agg(*sums).first()
         if not got["all"]:
             break
         new_share, new_right = clip(got["good"] / got["all"], 0.05, 0.95), {}
