@@ -229,12 +229,8 @@ def near_duplicate_groups(docs: DataFrame, *, threshold: int = 4, id_col: str =
     return prints.join(by_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, threshold: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group stays, the one with the smallest id; rows without an id stay as well.
-
-    Of rows that repeat that id one stays.
-    """
-    groups = near_duplicate_groups(docs, threshold=threshold, id_col=id_col, text_col=text_col)
+def keep_least(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is their group's ``component_id``, one row an id, and the rows without an id."""
     keep = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     known = docs.where(F.col(id_col).isNotNull())
     repeated = known.groupBy(id_col).count().where("count > 1").select(id_col)
@@ -245,6 +241,14 @@ def drop_near_duplicates(docs: DataFrame, *, threshold: int = 4, id_col: str = "
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
 
 
+def drop_near_duplicates(docs: DataFrame, *, threshold: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group stays, the one with the smallest id; rows without an id stay as well.
+
+    Of rows that repeat that id one stays.
+    """
+    return keep_least(docs, near_duplicate_groups(docs, threshold=threshold, id_col=id_col, text_col=text_col), id_col)
+
+
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all ``documents``."""
     from folioscope.llm.common import table
