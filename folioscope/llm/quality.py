@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from math import log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +86,7 @@ def rule_votes() -> dict[str, Column]:
     }
 
 
-def fit_votes(patterns: DataFrame, rules: list[str], *, rounds: int = 20, tolerance: float = 1e-3) -> tuple[float, dict[str, tuple[float, float]]]:
+def fit_votes(patterns: DataFrame, rules: list[str], *, rounds: int = 10_000, tolerance: float = 1e-9) -> tuple[float, dict[str, tuple[float, float]]]:
     """Share of good documents and the two accuracies of each rule, by expectation-maximisation.
 
     ``patterns`` holds the rules' votes and ``n``, how many documents vote so. A rule's
@@ -97,19 +98,19 @@ def fit_votes(patterns: DataFrame, rules: list[str], *, rounds: int = 20, tolera
     """
     share, right = 0.8, dict.fromkeys(rules, (0.97, 0.3))
     clip = lambda x, lo, hi: min(hi, max(lo, x))
+    # one row a pattern, so at most 3 to the power of the rules: the rounds run on the driver
+    rows = patterns.groupBy(*rules).agg(F.sum("n").alias("n")).collect()
+    votes, n = np.array([[r[x] for x in rules] for r in rows]).reshape(len(rows), len(rules)), np.array([r["n"] for r in rows], float)
+    if not n.sum():
+        return share, right
     for _ in range(rounds):
-        weighed = patterns.withColumn("_p", posterior(share, right)).withColumns({"_good": F.col("n") * F.col("_p"), "_bad": F.col("n") * (1 - F.col("_p"))})
-        sums = [F.sum("_good").alias("good"), F.sum("n").alias("all")]
-        for r in rules:
-            for name, own in (("good", 1), ("bad", -1)):
-                sums += [F.sum(F.when(F.col(r) == own, F.col(f"_{name}")).otherwise(0.0)).alias(f"{name}_hit_{r}"), F.sum(F.when(F.col(r) != 0, F.col(f"_{name}")).otherwise(0.0)).alias(f"{name}_of_{r}")]
-        got = weighed.agg(*sums).first()
-        if not got["all"]:
-            break
-        new_share, new_right = clip(got["good"] / got["all"], 0.05, 0.95), {}
-        for r in rules:
-            on_good = clip((got[f"good_hit_{r}"] + 0.97) / (got[f"good_of_{r}"] + 1), 0.95, 0.99)
-            on_bad = clip((got[f"bad_hit_{r}"] + 0.3) / (got[f"bad_of_{r}"] + 1), 0.05, 0.98)
+        odds = log(share / (1 - share)) + sum(np.where(v == 1, log(g / (1 - b)), np.where(v == -1, log((1 - g) / b), 0.0)) for v, (g, b) in zip(votes.T, right.values()))
+        p = 1 / (1 + np.exp(-odds))
+        good, bad = n * p, n * (1 - p)
+        new_share, new_right = clip(float(good.sum() / n.sum()), 0.05, 0.95), {}
+        for r, v in zip(rules, votes.T):
+            on_good = clip(float((good[v == 1].sum() + 0.97) / (good[v != 0].sum() + 1)), 0.95, 0.99)
+            on_bad = clip(float((bad[v == -1].sum() + 0.3) / (bad[v != 0].sum() + 1)), 0.05, 0.98)
             new_right[r] = (on_good, on_bad)
         moved = max(abs(new_share - share), *(abs(x - y) for r in rules for x, y in zip(new_right[r], right[r])))
         share, right = new_share, new_right

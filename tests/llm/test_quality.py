@@ -51,3 +51,16 @@ def test_rules_find_junk_and_keep_prose(spark):
 
 def test_empty(spark):
     assert Q.score_quality(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_slow_votes_are_fitted_to_convergence(spark):
+    from folioscope.llm import quality
+
+    rules = ["a", "b", "c"]
+    rows = [(1, 1, 0, 900), (1, 0, -1, 40), (-1, 1, 0, 35), (0, -1, 1, 60), (-1, -1, 0, 30), (0, 0, -1, 200), (1, -1, -1, 9)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, n long")
+    share, right = quality.fit_votes(df, rules)
+    again, more = quality.fit_votes(df, rules, rounds=100_000, tolerance=1e-13)
+    assert abs(share - again) < 1e-6 and all(abs(x - y) < 1e-6 for r in rules for x, y in zip(right[r], more[r]))
+    early, _ = quality.fit_votes(df, rules, rounds=20, tolerance=1e-3)
+    assert abs(early - again) > 1e-6
