@@ -1,10 +1,10 @@
 """Quality rules as weak supervision, with DataFrame functions only.
 
-Eight rules look at counts of a text and vote good (1), bad (-1) or abstain (0). They are
+Nine rules look at counts of a text and vote good (1), bad (-1) or abstain (0). They are
 not conjoined: expectation-maximisation over all documents' votes estimates how often each
 rule is right when it votes, and a document's posterior probability of being good decides.
 The votes of all documents are first counted by pattern (a partial sum; there are at most
-3^8 patterns), so an iteration touches that small table only, and what reaches the driver
+3^9 patterns), so an iteration touches that small table only, and what reaches the driver
 is one row of estimates.
 """
 
@@ -29,6 +29,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_upper", "n_marks", "n_stops",
 def text_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The input's columns and the counts that the rules look at.
 
+    The input's columns of the counts' names give way; no other name clashes.
     ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words`` (words in
     windows of five that occur twice or more), ``n_lines``, ``n_upper``,
     ``n_stops`` (different words of the stop list), ``n_marks`` (characters ``.!?``).
@@ -37,7 +38,9 @@ def text_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     less = lambda chars: (F.length("_t") - F.length(F.translate("_t", chars, ""))).cast("long")
-    df = docs.withColumn("_t", text)
+    # the input's columns travel as one, so that none can have a name that is used here
+    kept = [c for c in docs.columns if c not in COUNTS]
+    df = docs.select(F.struct(*kept).alias("_own"), text.alias("_t"))
     df = df.withColumn("_w", F.array_remove(F.split("_t", _SPACES), ""))
     df = df.withColumns(
         {
@@ -62,7 +65,7 @@ def text_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     same = "(k > 0 AND _s[k - 1].h = _s[k].h) OR (k + 1 < size(_s) AND _s[k + 1].h = _s[k].h)"
     df = df.withColumn("_p", F.expr(f"CASE WHEN _s IS NOT NULL THEN sort_array(filter(transform(sequence(0, size(_s) - 1), k -> CASE WHEN {same} THEN _s[k].i END), x -> x IS NOT NULL)) END"))
     repeated = F.expr(f"CASE WHEN _p IS NULL THEN 0L ELSE aggregate(sequence(1, size(_p) - 1), {WINDOW}L, (n, k) -> n + least({WINDOW}, _p[k] - _p[k - 1])) END")
-    return df.withColumn("n_repeat_words", repeated).drop("_t", "_w", "_l", "_h", "_s", "_p")
+    return df.withColumn("n_repeat_words", repeated).select("_own.*", *COUNTS)
 
 
 def rule_votes() -> dict[str, Column]:
@@ -74,13 +77,15 @@ def rule_votes() -> dict[str, Column]:
         return F.when(bad, -1).when(good, 1).otherwise(0)
 
     lines = F.greatest(F.col("n_lines"), F.lit(1))
+    chars = F.greatest(F.col("word_chars"), F.lit(1))
     return {
         "length": vote(F.col("n_words") >= 50, F.col("n_words") < 10),
         "word_length": vote(rate("word_chars").between(3, 10), ~rate("word_chars").between(2, 15)),
         "symbols": vote(rate("n_symbols") < 0.05, rate("n_symbols") > 0.3),
+        "symbol_share": vote(F.col("n_symbols") / chars < 0.01, F.col("n_symbols") / chars > 0.05),
         "repeats": vote(rate("n_repeat_words") < 0.05, 100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
         "lines": vote(F.col("n_dup_lines") == 0, F.col("n_dup_lines") / lines > 0.3),
-        "capitals": vote(F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)) < 0.15, F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)) > 0.4),
+        "capitals": vote(F.col("n_upper") / chars < 0.15, F.col("n_upper") / chars > 0.4),
         "function_words": vote(F.col("n_stops") >= 2, (F.col("n_stops") == 0) & (F.col("n_words") >= 30)),
         "sentences": vote(rate("n_marks").between(0.01, 0.5), (rate("n_marks") < 0.004) & (F.col("n_words") >= 50) | (rate("n_marks") > 0.8)),
     }
@@ -90,14 +95,13 @@ def fit_votes(patterns: DataFrame, rules: list[str], *, rounds: int = 10_000, to
     """Share of good documents and the two accuracies of each rule, by expectation-maximisation.
 
     ``patterns`` holds the rules' votes and ``n``, how many documents vote so. A rule's
-    accuracies are the share of its votes that are right on good and on bad documents; a rule
-    that calls everything good thus carries no weight. The rules are written to spare good
-    documents, so the first stays in 0.95 to 0.99; without that bound a common kind of junk
-    could pass for good. The second stays in 0.05 to 0.98, the share in 0.05 to 0.95. No
-    rows: the start is returned.
+    accuracies are the share of its votes that are right on good and on bad documents, each
+    with one vote's worth of the start added; a rule that calls everything good thus carries
+    no weight. Nothing else holds the estimates (a thousandth from 0 and 1 keeps logarithms
+    finite). No rows: the start is returned.
     """
     share, right = 0.8, dict.fromkeys(rules, (0.97, 0.3))
-    clip = lambda x, lo, hi: min(hi, max(lo, x))
+    clip = lambda x: min(0.999, max(0.001, x))
     # one row a pattern, so at most 3 to the power of the rules: the rounds run on the driver
     rows = patterns.groupBy(*rules).agg(F.sum("n").alias("n")).collect()
     votes, n = np.array([[r[x] for x in rules] for r in rows]).reshape(len(rows), len(rules)), np.array([r["n"] for r in rows], float)
@@ -107,10 +111,10 @@ def fit_votes(patterns: DataFrame, rules: list[str], *, rounds: int = 10_000, to
         odds = log(share / (1 - share)) + sum(np.where(v == 1, log(g / (1 - b)), np.where(v == -1, log((1 - g) / b), 0.0)) for v, (g, b) in zip(votes.T, right.values()))
         p = 1 / (1 + np.exp(-odds))
         good, bad = n * p, n * (1 - p)
-        new_share, new_right = clip(float(good.sum() / n.sum()), 0.05, 0.95), {}
+        new_share, new_right = clip(float(good.sum() / n.sum())), {}
         for r, v in zip(rules, votes.T):
-            on_good = clip(float((good[v == 1].sum() + 0.97) / (good[v != 0].sum() + 1)), 0.95, 0.99)
-            on_bad = clip(float((bad[v == -1].sum() + 0.3) / (bad[v != 0].sum() + 1)), 0.05, 0.98)
+            on_good = clip(float((good[v == 1].sum() + 0.97) / (good[v != 0].sum() + 1)))
+            on_bad = clip(float((bad[v == -1].sum() + 0.3) / (bad[v != 0].sum() + 1)))
             new_right[r] = (on_good, on_bad)
         moved = max(abs(new_share - share), *(abs(x - y) for r in rules for x, y in zip(new_right[r], right[r])))
         share, right = new_share, new_right

@@ -64,3 +64,51 @@ def test_slow_votes_are_fitted_to_convergence(spark):
     assert abs(share - again) < 1e-6 and all(abs(x - y) < 1e-6 for r in rules for x, y in zip(right[r], more[r]))
     early, _ = quality.fit_votes(df, rules, rounds=20, tolerance=1e-3)
     assert abs(early - again) > 1e-6
+
+
+def test_posterior_equals_brute_force(spark):
+    """Expectation-maximisation document by document, without patterns, and the verdict from it."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    prose = lambda: " ".join(rng.choice(["The", "garden", "of", "and", "river", "is", "in", "stone", "walked", f"w{rng.randrange(500)}", "that.", "house"]) for _ in range(rng.choice([8, 30, 120])))
+    rows = [(i, prose() if rng.random() < 0.7 else make(rng), None) for i in range(150)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    votes = Q.rule_votes()
+    seen = [tuple(r) for r in Q.text_counts(df).select("doc_id", *votes.values()).collect()]
+    share, right = 0.8, [(0.97, 0.3)] * len(votes)
+    clip = lambda x: min(0.999, max(0.001, x))
+
+    def good(row):
+        odds = math.log(share / (1 - share))
+        for v, (g, b) in zip(row[1:], right):
+            odds += {1: math.log(g / (1 - b)), -1: math.log((1 - g) / b), 0: 0.0}[v]
+        return 1 / (1 + math.exp(-odds))
+
+    for _ in range(3000):
+        p = [good(r) for r in seen]
+        new = []
+        for k in range(1, len(votes) + 1):
+            g, b = 0.97, 0.3
+            ng = nb = 1.0
+            for r, x in zip(seen, p):
+                if r[k]:
+                    ng, nb = ng + x, nb + 1 - x
+                    g, b = g + x * (r[k] == 1), b + (1 - x) * (r[k] == -1)
+            new.append((clip(g / ng), clip(b / nb)))
+        moved = max(abs(x - y) for a, c in zip(new, right) for x, y in zip(a, c))
+        share, right = clip(sum(p) / len(p)), new
+        if moved < 1e-10:
+            break
+    want = {r[0]: good(r) for r in seen}
+    got = {r.doc_id: r for r in Q.score_quality(df).select("doc_id", "quality", "kept", "base_failed").collect()}
+    assert all(abs(got[i].quality - want[i]) < 1e-4 for i in want)
+    assert all(r.kept == (not r.base_failed and r.quality >= 0.5) for r in got.values())
+
+
+def test_clashing_column_names(spark):
+    df = spark.createDataFrame([(1, "the a b c d", "t", "w", 7, 8.0, "s", "own")], "doc_id long, text string, _t string, _w string, _l int, _h double, _s string, _own string")
+    row = Q.score_quality(df).first()
+    assert (row._t, row._w, row._l, row._h, row._s, row._own, row.n_words) == ("t", "w", 7, 8.0, "s", "own", 5)
