@@ -3,13 +3,14 @@
 A text becomes bytes of lower-case letters and spaces; its subwords are all byte 3-grams and
 4-grams that lie in one word (a space may begin or end one), hashed into a table of
 embeddings. Their mean goes through a linear softmax. Both are trained by stochastic
-gradient descent in numpy on a bounded sample of labelled rows; a temperature and a
-rejection threshold are calibrated on held-out pieces of that sample.
+gradient descent in numpy on a bounded sample of labelled rows; a subword that the sample
+lacks says nothing. A temperature and a rejection threshold are calibrated on held-out pieces
+of that sample, short and long ones: one in a thousand of those that are recognised rightly
+may be rejected. How many pieces with shuffled letters the threshold catches is kept as well.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,14 +23,15 @@ from folioscope.llm.common import ship
 
 #: Hash buckets of each subword length, embedding width.
 BUCKETS, WIDTH = 1 << 15, 12
-#: Labelled rows per language that are learnt from, characters of each, most languages.
-PER_LANGUAGE, SAMPLE_CHARS, MOST_LANGUAGES = 700, 2000, 400
+#: Labelled rows per language that are learnt from, rows of all languages together, characters of each.
+PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CHARS = 700, 200_000, 2000
+#: Share of recognised pieces that calibration may reject, and the bytes of the pieces it looks at.
+FALSE_REJECTION, PIECES = 0.001, (24, 80, 240)
 NONE = "und"
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def subwords(raw: np.ndarray) -> np.ndarray:
@@ -56,6 +58,7 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     reject_below: float
+    caught: float = 0.0
 
     def logits(self, texts: list[str], at_once: int = 1 << 20) -> np.ndarray:
         """Logits of whole texts; long ones are taken in overlapping pieces, so memory is bounded."""
@@ -92,7 +95,7 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """Language, calibrated probability, rejected or not."""
         out = [(NONE, 0.0, True)] * len(texts)
-        at = [i for i, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
+        at = [i for i, t in enumerate(texts) if t and self.languages and has_letter(t)]
         if at:
             p = softmax(self.logits([texts[i] for i in at]) / self.temperature)
             best = p.argmax(1)
@@ -101,6 +104,11 @@ class LanguageModel:
         return out
 
 
+def has_letter(text: str) -> bool:
+    """A character of the Unicode letter categories (numerals are none)."""
+    return any(map(str.isalpha, text))
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
@@ -112,14 +120,17 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 4, piece: int =
     if not languages:
         return LanguageModel([], np.zeros((2 * BUCKETS + 1, 1), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    rows, held = [], []
+    rows, held, held_texts = [], [], []
+    known = {y: i for i, y in enumerate(languages)}
     for k, (t, y) in enumerate(zip(texts, labels)):
         raw = np.frombuffer(b" " + t.lower().encode() + b" ", np.uint8)
+        if k % 5 == 4:
+            held_texts.append((t, known[y]))
         for lo in range(0, len(raw), piece):
             g = subwords(raw[lo : lo + piece + 3]).ravel()
             g = g[g < 2 * BUCKETS]
             if len(g):
-                (held if k % 5 == 4 else rows).append((g, languages.index(y)))
+                (held if k % 5 == 4 else rows).append((g, known[y]))
     rows = rows or held
     c = len(languages)
     e = rng.normal(0, 0.1, (2 * BUCKETS, WIDTH)).astype(np.float32)
@@ -144,6 +155,10 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 4, piece: int =
             np.add.at(e, idx, np.repeat(-lr * back, n, axis=0))
     scores = np.zeros((2 * BUCKETS + 1, c + 1), np.float32)
     scores[:-1, :c] = e @ w
+    heard = np.zeros(2 * BUCKETS, bool)
+    for g, _ in rows:
+        heard[g] = True
+    scores[:-1, :c][~heard] = 0
     scores[:-1, c] = 1
     model = LanguageModel(languages, scores, b.astype(np.float64), 1.0, 0.0)
     if held:
@@ -151,10 +166,16 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 4, piece: int =
         y = np.array([k for _, k in held])
         loss = {t: -np.log(softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean() for t in np.geomspace(0.1, 10, 41)}
         model.temperature = float(min(loss, key=loss.get))
-        p = softmax(logits / model.temperature)
-        sure = p.max(1)[p.argmax(1) == y]
-        # at most one in a thousand right pieces would be rejected, and only what is hardly above chance
-        model.reject_below = float(min(1.3 / c, np.quantile(sure, 0.001))) if len(sure) and c > 1 else 0.0
+    if held_texts and c > 1:
+        # ends at a space, so that a piece holds whole words; one of each length from every held-out text
+        pieces = [(t.encode()[:n].decode("utf-8", "ignore").rsplit(" ", 1)[0], y) for t, y in held_texts for n in PIECES]
+        pieces = [(t, y) for t, y in pieces if has_letter(t)]
+        top = lambda own: softmax(model.logits(own) / model.temperature) if own else np.zeros((0, c))
+        p = top([t for t, _ in pieces])
+        sure = p.max(1)[p.argmax(1) == np.array([y for _, y in pieces], int)]
+        model.reject_below = float(np.quantile(sure, FALSE_REJECTION)) if len(sure) else 0.0
+        mixed = ["".join(rng.permutation(list(t))) for t, _ in pieces]
+        model.caught = float((top(mixed).max(1) < model.reject_below).mean()) if mixed else 0.0
     return model
 
 
@@ -163,17 +184,22 @@ def fold_of(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 4
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Learn from labelled rows outside the held-out fold, about ``per_language`` rows of each language.
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
+    """Learn from labelled rows outside the held-out fold, about ``per_language`` rows of each language
+    or, if there are very many languages, an even part of ``sample_rows``.
 
     The rows are chosen by a hash of id and text, and of each a stretch of 2,000 characters
-    from a hashed place is used, so the sample is bounded whatever the table holds.
+    from a hashed place is used, so the sample is bounded whatever the table holds. No
+    language is left out. Rows without a text or a label teach nothing; a null id is not held
+    out; repeated rows count as often as they stand; no labelled row gives a model without
+    languages, which rejects everything.
     """
     # a null id has no remainder and is not held out
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.coalesce(fold_of(F.col(id_col)), F.lit(0)) != 2)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = usable.groupBy("lang").count().collect()
     if not counts:
         return train([], [])
+    per_language = min(per_language, max(1, sample_rows // len(counts)))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, per_language / r["count"]) * (1 << 30)))])
     dice = F.xxhash64("id", "text")
     start = F.pmod(dice, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
@@ -201,7 +227,12 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
 
 
 def drop_rejected(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
-    """The rows whose text's language is recognised, in one map over whole rows."""
+    """The rows whose text's language is recognised, with their columns, in one map over whole rows.
+
+    Null and empty texts and those without a letter go, as do those under the calibrated
+    threshold; long texts are read whole; repeated rows stay or go together; ids are not
+    looked at; a model without languages drops everything; an empty table gives none.
+    """
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)
 

@@ -21,7 +21,7 @@ def rows():
 
 
 def test_held_out_accuracy(spark, rows):
-    extra = [(1000, None, "en", "x"), (1001, "", "en", "x"), (1002, "12 34 ... _", "fr", "x"), (None, "the and tion", "en", "x"), (1003, make("de", random.Random(1), 200_000), None, "x"), (7, rows[7][1], rows[7][2], "x")]
+    extra = [(1000, None, "en", "x"), (1001, "", "en", "x"), (1002, "12 34 ... _ ½ ²", "fr", "x"), (None, "the and tion", "en", "x"), (1003, make("de", random.Random(1), 200_000), None, "x"), (7, rows[7][1], rows[7][2], "x")]
     df = spark.createDataFrame(rows + extra, SCHEMA)
     model = L.fit(df)
     got = L.identify(df, model).collect()
