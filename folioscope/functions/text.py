@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from folioscope.cluster import ship
+
 # Character classes.
 DASHES = "‐‑‒–—−"
 SPACES = "\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -25,9 +27,14 @@ YEAR = r"(?:19|20)\d{2}"
 EVALUATION_TOKEN = r"[+-]?[$£€]?\d[\d,.]*(?:%|ppt|bp|[xkmbn])?"
 
 
-@F.pandas_udf(StringType())
-def nfkc(values: pd.Series) -> pd.Series:
+def nfkc(c: Column) -> Column:
     """Unicode compatibility composition; null stays null."""
+    ship()
+    return _nfkc(c)
+
+
+@F.pandas_udf(StringType())
+def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.cluster import ship
 from folioscope.functions import numbers as N
 from folioscope.functions import text as T
 
@@ -71,6 +72,7 @@ def equivalence_report(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Exact paired statistics for each row of aggregated cells (NUM6, NUM7, AGG26)."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    ship(cells.sparkSession)
     schema = StructType([*[f for f in cells.schema.fields], *[StructField(n, DoubleType()) for n in ("p_value", "agreement", "low", "high")]])
 
     def run(batches):

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope import constants as K
+from folioscope.cluster import ship
 from folioscope.functions import text as T
 from folioscope.operators.associate import coverage
 
@@ -65,6 +66,7 @@ def letter_pairs(native: DataFrame, ocr: DataFrame) -> DataFrame:
     costly part). A script that the reading never shows on a page can't testify, and Han
     can't where the page has kana that the reading lacks.
     """
+    ship(native.sparkSession)
     over = coverage(native, ocr).where(F.col("covered") >= K.GLYPH_COVERAGE)
     df = native.where("font is not null").join(over, ["page_id", "id"]).select("page_id", "id", "font", "text", "read")
     kind = native.schema["page_id"].dataType.simpleString()

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope import constants as K
+from folioscope.cluster import ship
 from folioscope.functions import geometry as G
 from folioscope.operators.associate import attribute_to_regions, repeated_readings
 from folioscope.operators.pages import fold_pages
@@ -103,6 +104,7 @@ def find_unread_ink(rasters: DataFrame, boxes: DataFrame, *, scale: float = K.RE
     """Regions of every page. ``boxes`` holds what was read. A page that is not in ``rasters`` was
     never analysed and has no row; a clean page has none either, so join with ``rasters`` to
     tell the two apart."""
+    ship(rasters.sparkSession)
     read = boxes.groupBy("page_id").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("read"))
     kind = rasters.schema["page_id"].dataType.simpleString()
 

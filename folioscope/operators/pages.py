@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from folioscope.cluster import ship
+
 
 def fold_pages(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[list[dict[str, Any]]], list[tuple]], schema: str, *, batch_rows: int = 20_000) -> DataFrame:
     """Apply ``fold`` to the ordered rows of each page.
@@ -19,6 +21,7 @@ def fold_pages(df: DataFrame, keys: list[str], order: list[str], fold: Callable[
     bounded by a batch and one page. ``fold`` gets dictionaries and returns tuples that fit
     ``schema``. Pages have no rows in common, so nothing else is shuffled.
     """
+    ship(df.sparkSession)
     out_type: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(out_type)
     ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
