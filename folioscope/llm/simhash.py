@@ -7,10 +7,13 @@ Hamming code over 15 bits (covering radius 1), times all values of the other bit
 block a fingerprint has one home anchor at distance 0 or 1 and is replicated to every
 anchor within 1 + 1 bits (about 15); the homes of an anchor are compared with its replicas.
 
-Only distinct fingerprints take part, so copies cost nothing. An anchor with more than
-``unit_rows`` rows is cut into a grid of units (home chunk x replica chunk), so no task gets
-an unbounded anchor; a large unit gives a spanning forest of its links rather than all of
-them, which leaves components as they are.
+Only distinct fingerprints take part, so copies cost nothing. There are 524,288 anchors, so with
+enough fingerprints all are large. An anchor with more than ``unit_rows`` rows is refined by
+joint keys: of ``threshold + 1`` parts of the other bits linked fingerprints have one in common; a
+home and a replica meet under the anchor and that part. What is still large under a joint key is cut into a grid of
+units (home chunk x replica chunk) of ``unit_rows`` rows each way, so no task gets an unbounded
+unit at any size; a large unit gives a spanning forest of its links rather than all of them,
+which leaves components as they are.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from folioscope.llm.common import connected_components, materialize, ship
 #: (first bit, bits) of the blocks; the lowest 15 bits of each are the Hamming part.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 _CHECKS = tuple(sum(1 << i for i in range(15) if (i + 1) >> k & 1) for k in range(4))
-#: Rows of an anchor from which it is cut up, and how many such anchors there may be at most.
-UNIT_ROWS, MOST_HOT = 4096, 50_000
+#: Rows of an anchor, or of a joint key, from which it is cut up; joint keys up to which a table of them is broadcast (24 bytes each).
+UNIT_ROWS, BROADCAST_KEYS = 4096, 500_000
 
 
 def _masks(syndrome: int, width: int, radius: int) -> list[int]:
@@ -154,8 +157,32 @@ def _row(block: Column, k: int):
     return lambda mask, i: F.struct((F.lit(k << 22) + block.bitwiseXOR(mask)).alias("anchor"), (i == 0).alias("home"))
 
 
-def links(distinct_fps: DataFrame, *, threshold: int = 4, unit_rows: int = UNIT_ROWS, most_hot: int = MOST_HOT) -> DataFrame:
-    """``a``, ``b``: enough links between different fingerprints (column ``fp``) to span every component."""
+def _hot(spread: DataFrame, key: str, unit_rows: int, name: str) -> DataFrame:
+    """Keys of more than ``unit_rows`` rows with their rows ``n`` and homes ``h``; written, so that joins see its size."""
+    counts = spread.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("h"))
+    return materialize(counts.where(F.col("n") > unit_rows), name)
+
+
+def _sized(table: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """Broadcast a table whose size is known to be small; a larger one is joined by shuffle."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
+def _block_place() -> tuple[Column, Column]:
+    """First bit and width of the block that a row's anchor belongs to."""
+    first = {k: lo for k, (lo, _) in enumerate(BLOCKS)}
+    width = {k: w for k, (_, w) in enumerate(BLOCKS)}
+    block = F.shiftrightunsigned("anchor", 22)
+    choose = lambda of: F.when(block == 0, F.lit(of[0])).when(block == 1, F.lit(of[1])).otherwise(F.lit(of[2]))
+    return choose(first).cast("int"), choose(width).cast("int")
+
+
+def links(distinct_fps: DataFrame, *, threshold: int = 4, unit_rows: int = UNIT_ROWS) -> DataFrame:
+    """``a``, ``b``: enough links between different fingerprints (column ``fp``) to span every component.
+
+    No fingerprint is left out at any size; a null fingerprint has no link; repeated ones do no
+    harm; an empty table gives none.
+    """
     if not 0 <= threshold <= 5:
         raise ValueError("three blocks serve thresholds from 0 to 5")
     ship(distinct_fps.sparkSession)
@@ -166,23 +193,32 @@ def links(distinct_fps: DataFrame, *, threshold: int = 4, unit_rows: int = UNIT_
         syndrome = sum(((F.bit_count(block.bitwiseAND(F.lit(c))) % 2) * (1 << i) for i, c in enumerate(_CHECKS)), F.lit(0))
         masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in _masks(s, width, 1 + slack)]) for s in range(16)])
         rows.append(F.transform(F.element_at(masks, (syndrome + 1).cast("int")), _row(block, k)))
-    spread = distinct_fps.select("fp", F.explode(F.flatten(F.array(*rows))).alias("r")).select("fp", "r.anchor", "r.home")
-    # the counts go by anchor with a partial sum; hot anchors are at most most_hot, so they may be broadcast
-    counts = spread.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("h"))
-    counts = materialize(counts.where(F.col("n") > unit_rows), "anchors")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    size = max(unit_rows, -(-total // most_hot))
-    hot = counts.where(F.col("n") > size).select("anchor", F.ceil(F.col("n") / size).alias("nr"), F.ceil(F.col("h") / size).alias("nh"))
+    spread = distinct_fps.where("fp is not null").select("fp", F.explode(F.flatten(F.array(*rows))).alias("r")).select("fp", "r.anchor", "r.home")
+    # at most one row for each of the 524,288 anchors, whatever the input
+    hot = _hot(spread, "anchor", unit_rows, "anchors").select("anchor", F.lit(True).alias("hot"))
     known = spread.join(F.broadcast(hot), "anchor", "left")
-    chunk = F.xxhash64("fp")
-    unit = lambda i, j: F.shiftleft("anchor", 32) + F.shiftleft(i.cast("long"), 16) + j.cast("long")
-    replicas = F.when(F.col("nr").isNull(), F.array(F.struct(F.shiftleft("anchor", 32).alias("unit"), F.col("home").alias("home")))).otherwise(
-        F.concat(
-            F.transform(F.sequence(F.lit(0), F.greatest("nh", F.lit(1)).cast("int") - 1), lambda i: F.struct(unit(i, F.pmod(chunk, F.col("nr"))).alias("unit"), F.lit(False).alias("home"))),
+    plain = known.where("hot is null").select(F.col("anchor").alias("unit"), "fp", "home")
+    units = plain
+    if hot.limit(1).count():
+        low, n = _block_place()
+        # the fingerprint turned until its block's bits are the highest; the 42 or 43 others are the lowest
+        rest = F.expr("shiftrightunsigned(fp, _low + _n) | CASE WHEN _low > 0 THEN shiftleft(fp & (shiftleft(1L, _low) - 1), 64 - _low - _n) ELSE 0L END")
+        joint = known.where("hot").withColumns({"_low": low, "_n": n}).withColumn("_rest", rest)
+        parts = threshold + 1  # one more than the bits that may differ, so one part is equal
+        cut = lambda j: (F.shiftrightunsigned("_rest", (43 * j) // parts).bitwiseAND(F.lit((1 << ((43 * (j + 1)) // parts - (43 * j) // parts)) - 1)))
+        keyed = joint.select("fp", "home", F.explode(F.array(*[F.xxhash64("anchor", F.lit(j), cut(j)) for j in range(parts)])).alias("key"))
+        large = _sized(_hot(keyed, "key", unit_rows, "joint").select("key", F.ceil(F.col("n") / unit_rows).alias("nr"), F.ceil(F.greatest("h", F.lit(1)) / unit_rows).alias("nh")))
+        sized = keyed.join(large, "key", "left")
+        chunk = F.xxhash64("fp", F.lit(1))
+        # chunk i of the homes meets chunk j of all rows in the unit (key, i, j)
+        unit = lambda i, j: F.xxhash64("key", i.cast("long"), j.cast("long"))
+        alone = F.array(F.struct(F.xxhash64("key", F.lit(-1)).alias("unit"), F.col("home").alias("home")))
+        grid = F.concat(
+            F.transform(F.sequence(F.lit(0), F.col("nh").cast("int") - 1), lambda i: F.struct(unit(i, F.pmod(chunk, F.col("nr"))).alias("unit"), F.lit(False).alias("home"))),
             F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("nr").cast("int") - 1), lambda j: F.struct(unit(F.pmod(chunk, F.col("nh")), j).alias("unit"), F.lit(True).alias("home")))).otherwise(F.array().cast("array<struct<unit:bigint,home:boolean>>")),
         )
-    )
-    units = known.select("fp", F.explode(replicas).alias("u")).select("u.unit", "fp", "u.home")
+        replicas = F.when(F.col("nr").isNull(), alone).otherwise(grid)
+        units = plain.unionByName(sized.select("fp", F.explode(replicas).alias("u")).select("u.unit", "fp", "u.home"))
     parts = int(distinct_fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = units.repartition(parts, "unit").sortWithinPartitions("unit")
 
@@ -242,9 +278,11 @@ def keep_least(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, *, threshold: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group stays, the one with the smallest id; rows without an id stay as well.
+    """One row of each group stays, the one with the smallest id, with its columns.
 
-    Of rows that repeat that id one stays.
+    Rows without an id can't be named and stay; of rows that repeat the kept id one stays. Null
+    and blank texts have fingerprint zero and are one group; long texts are read whole; an
+    empty table gives none.
     """
     return keep_least(docs, near_duplicate_groups(docs, threshold=threshold, id_col=id_col, text_col=text_col), id_col)
 

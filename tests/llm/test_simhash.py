@@ -49,7 +49,7 @@ def test_every_close_pair_meets():
             assert home in near and all(syn(n) == 0 and (n ^ y).bit_count() <= 2 for n in near)
 
 
-@pytest.mark.parametrize("unit_rows", [4096, 8])
+@pytest.mark.parametrize("unit_rows", [4096, 64, 8, 2])
 def test_links_span_the_same_components(spark, unit_rows):
     rng = random.Random(5)
     fps = []
