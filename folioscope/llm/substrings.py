@@ -14,8 +14,11 @@ sorted, chosen by content:
 3. *Refinement by later offsets.* These are judged in cells of 16 windows by the same two
    identifiers, and what is left of the cells by single windows, whose identifier is put
    together from those of its parts at later offsets, again and again: bytes give 32, those at
-   offsets 0 and 32 give 64, 0 and 64 give 128, 0 and 72 give 200. A window whose last
-   bucket holds two rows is repeated.
+   offsets 0 and 32 give 64, 0 and 64 give 128, 0 and 72 give 200. With it goes the
+   identifier of all its bytes at once. A window whose last bucket holds two rows with the
+   same second identifier is repeated.
+
+So every verdict rests on two identifiers of 64 bits each.
 
 All bucket sizes are partial counts joined back, so neither a passage that a third of all
 rows share nor a group of copies meets in one task; texts that occur twice are removed as a
@@ -174,20 +177,22 @@ def cell_rows(contexts: list[bytes], off: np.ndarray, count: np.ndarray, length:
 
 
 def window_rows(contexts: list[bytes], cells: list[list[dict]], length: int, q: int) -> tuple[np.ndarray, ...]:
-    """Context, position in it, need and identifier of each window of the given cells."""
+    """Context, position in it, need and the two identifiers of each window of the given cells."""
     n = np.array([len(c) for c in contexts])
     begin = np.cumsum(n) - n
-    ids = Buckets(np.frombuffer(b"".join(contexts), np.uint8), q).windows(length)
+    b = Buckets(np.frombuffer(b"".join(contexts), np.uint8), q)
+    ids = b.windows(length)
     flat = np.array([(i, x["first"], x["count"], x["need"]) for i, own in enumerate(cells) for x in own], np.int64).reshape(-1, 4)
     row, first, per, need = (np.repeat(flat[:, k], flat[:, 2]) for k in range(4))
     j = first + np.arange(len(row)) - np.repeat(np.cumsum(flat[:, 2]) - flat[:, 2], flat[:, 2])
-    return row, j, need.astype(bool), ids[begin[row] + j]
+    at = begin[row] + j
+    return row, j, need.astype(bool), ids[at], b.span(at, at + length)
 
 
-def with_keys(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``_k1`` and ``_k2``, which together stand for the text (null: empty)."""
+def with_keys(docs: DataFrame, text_col: str = "text", names: tuple[str, str] = ("_k1", "_k2")) -> DataFrame:
+    """Adds two columns, which together stand for the text (null: empty)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.crc32(text) * F.lit(1 << 31) + F.octet_length(text)})
+    return docs.withColumns({names[0]: F.xxhash64(text), names[1]: F.crc32(text) * F.lit(1 << 31) + F.octet_length(text)})
 
 
 def _refine(rows: DataFrame, refs: list[str], name: str) -> tuple[DataFrame, DataFrame]:
@@ -270,13 +275,13 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
                 k1, k2, first, raw, own = part.columns
-                row, j, need, ids = window_rows(raw.to_pylist(), own.to_pylist(), length, q)
-                yield pa.RecordBatch.from_arrays([hashed(ids), i64(k1.to_numpy()[row]), i64(k2.to_numpy()[row]), pa.array((first.to_numpy()[row] + j).astype(np.int32)), pa.array(need)], ["bucket", "_k1", "_k2", "first", "need"])
+                row, j, need, ids, second = window_rows(raw.to_pylist(), own.to_pylist(), length, q)
+                yield pa.RecordBatch.from_arrays([hashed(ids), hashed(second), i64(k1.to_numpy()[row]), i64(k2.to_numpy()[row]), pa.array((first.to_numpy()[row] + j).astype(np.int32)), pa.array(need)], ["bucket", "second", "_k1", "_k2", "first", "need"])
 
-    single = contexts.join(asked, "ctx").select("_k1", "_k2", "first", "bytes", "list").mapInArrow(windows, "bucket long, _k1 long, _k2 long, first int, need boolean")
+    single = contexts.join(asked, "ctx").select("_k1", "_k2", "first", "bytes", "list").mapInArrow(windows, "bucket long, second long, _k1 long, _k2 long, first int, need boolean")
     single = materialize(single, "windows")
-    twice = materialize(single.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "repeated")
-    in_windows = single.where("need").join(twice, "bucket").select("_k1", "_k2", "first", F.lit(1).alias("count"))
+    twice = materialize(single.groupBy("bucket", "second").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "second"), "repeated")
+    in_windows = single.where("need").join(twice, ["bucket", "second"]).select("_k1", "_k2", "first", F.lit(1).alias("count"))
     in_cells = contexts.select("ctx", "_k1", "_k2", F.col("first").alias("base")).join(in_cells.where("asked"), "ctx").select("_k1", "_k2", (F.col("base") + F.col("first")).alias("first"), "count")
     found = whole.select("_k1", "_k2", "first", "count").unionByName(in_cells).unionByName(in_windows)
     spans = found.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("first", "count")).alias("spans"))
@@ -344,7 +349,13 @@ def substring_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def drop_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
-    """The same table with the repeated strings taken out of its texts (whole characters go)."""
+    """The same table with the repeated strings taken out of its texts (whole characters go).
+
+    A null text stays null; texts under ``length`` bytes stay as they are; a text that occurs
+    twice becomes empty in every row that has it, rows without an id too; ``chars_col``, if
+    there is one, is counted anew; all columns stay, whatever their names; an empty table
+    gives none.
+    """
     length = options.get("length", LENGTH)
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col, **options)
     names = docs.columns
@@ -361,8 +372,12 @@ def drop_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    spans = spans.withColumnsRenamed({"copies": "_copies", "spans": "_spans"})
-    joined = with_keys(docs, text_col).join(spans, ["_k1", "_k2"], "left").select(*names, "_copies", "_spans")
+    # names that the table does not have
+    own = ["_k1", "_k2", "_copies", "_spans"]
+    while set(own) & {n.lower() for n in names}:
+        own = [f"_{n}" for n in own]
+    spans = spans.withColumnsRenamed(dict(zip(["_k1", "_k2", "copies", "spans"], own)))
+    joined = with_keys(docs, text_col, tuple(own[:2])).join(spans, own[:2], "left").select(*names, *own[2:])
     out = joined.mapInArrow(run, docs.schema)
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in names else out
 

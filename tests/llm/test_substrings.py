@@ -64,3 +64,10 @@ def test_production_length(spark):
 
 def test_empty(spark):
     assert S.substring_digests(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_clashing_column_names(spark):
+    rows = [(1, "x" * 300, "a", 5, 6, "s"), (2, "y" + "x" * 299, "b", 7, 8, "t"), (3, None, "c", 9, 10, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _k1 string, _k2 int, _copies int, _spans string")
+    out = sorted(S.drop_substrings(df).collect())
+    assert [tuple(r) for r in out] == [(1, "", "a", 5, 6, "s"), (2, "y", "b", 7, 8, "t"), (3, None, "c", 9, 10, "u")]
