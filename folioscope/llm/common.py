@@ -3,18 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
-import sys
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
+from folioscope.cluster import is_local, ship  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is a temporary folder made and set.
+    Only where the session names none and runs on one machine (tests, a laptop) is a temporary
+    folder made and set; a cluster without the setting is an error, since every executor
+    would write its own disk and the tables read back would be incomplete.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folioscope-")
         atexit.register(shutil.rmtree, found[len("file://") :], True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -55,26 +55,14 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a table into the shared folder and read it back: cuts the lineage and survives lost executors."""
+    return _written(df, name)[0]
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that do not start in the repository."""
-    root = Path(__file__).resolve().parents[2]
-    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    if any(p and Path(p).resolve() == root for p in known) or spark.sparkContext.applicationId in _SHIPPED:
-        return
-    archive = Path(tempfile.mkdtemp(prefix="folioscope-")) / "folioscope.zip"
-    atexit.register(shutil.rmtree, str(archive.parent), True)
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted((root / "folioscope").rglob("*.py")):
-            z.write(f, f.relative_to(root))
-    spark.sparkContext.addPyFile(str(archive))
-    sys.path[:] = [p for p in sys.path if p != str(archive)]
-    _SHIPPED.add(spark.sparkContext.applicationId)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -83,7 +71,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     ``edges`` holds two columns of longs. Each round every node takes the smallest label
     among its neighbours' (a partial aggregate, so a hub is never gathered in one task) and
     then the label of its label (pointer jumping), so the rounds grow with the logarithm of
-    a component's diameter. Labels are rewritten to the shared folder each round.
+    a component's diameter. Labels are rewritten to the shared folder each round, and those of
+    the round before are deleted.
 
     Returns ``node``, ``component``. No edges: no rows. Loops and repeated edges do no harm.
     """
@@ -96,7 +85,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct()
     )
     both = materialize(both, "edges")
-    labels = materialize(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")), "labels")
+    labels, stale = _written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")), "labels")
     while True:
         heard = (
             both.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("heard")), "dst")
@@ -113,7 +102,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .join(hooked, "node", "left")
             .select("node", "label", F.least("next", "offer").alias("next"))
         )
-        moved = materialize(moved, "labels")
+        moved, path = _written(moved, "labels")
+        _remove(spark, stale)
+        stale = path
         changed = moved.where("next <> label").limit(1).count()
         labels = moved.select("node", F.col("next").alias("label"))
         if not changed:
