@@ -78,7 +78,7 @@ zlib 60 zlib (?:the )?zlib(?: libpng)? licen[sc]e
 zlib 65 misrepresented the origin of this software must not be misrepresented
 zlib 62 altered altered source versions must be plainly marked as such
 libpng 60 libpng (?:the )?libpng licen[sc]e
-beerware 75 beerware (?:the )?beer ?ware licen[sc]e
+beerware 75 beer (?:the )?beer ?ware licen[sc]e
 beerware 70 beer you can buy me a beer in return
 # bsd
 bsd-2-clause 95 bsd spdx license identifier bsd 2 clause
