@@ -113,7 +113,7 @@ def tokens_agree(a: Column, b: Column) -> Column:
         return (F.size(left) == F.size(right)) & (over(left, right, False) <= over(right, left, True)) & (over(right, left, False) <= over(left, right, True))
 
     cores = F.array_distinct(F.transform(F.concat(a, b), lambda t: t["core"]))
-    return (F.size(a) == F.size(b)) & F.forall(cores, fits)
+    return F.when(a == b, True).otherwise((F.size(a) == F.size(b)) & F.forall(cores, fits))
 
 
 def same_multiset(a: Column, b: Column) -> Column:
@@ -126,27 +126,33 @@ def word_tokens(c: Column, *, normalized: bool = False) -> Column:
     return F.regexp_extract_all(c if normalized else evidence_text(c), F.lit(WORD), F.lit(0))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """0 to 1 (TXT8) for two evidence forms: 1 if equal (spaces aside), the ratio of lengths if
-    one holds the other, else the Dice coefficient of the multisets of words.
+def similarity_forms(form: Column) -> dict[str, Column]:
+    """What a comparison needs of an evidence form, made once a row: ``compact`` (without spaces) and
+    ``bag`` (each word with its count among its equals, so sets stand for multisets)."""
+    words = F.sort_array(word_tokens(form, normalized=True))
+    return {"compact": F.replace(form, F.lit(" "), F.lit("")), "bag": F.transform(words, lambda w, i: F.concat(w, F.lit(" "), (i - F.array_position(words, w) + 1).cast("string")))}
 
-    The forms must be columns of their own, made before: they are used often, and a Python
-    function can't stand in a higher-order one.
-    """
-    ca, cb = F.replace(a, F.lit(" "), F.lit("")), F.replace(b, F.lit(" "), F.lit(""))
-    la, lb = F.length(ca).cast("double"), F.length(cb).cast("double")
-    wa, wb = word_tokens(a, normalized=True), word_tokens(b, normalized=True)
-    times = lambda words, w: F.size(F.filter(words, lambda x: x == w))
-    shared = F.aggregate(F.array_distinct(wa), F.lit(0), lambda n, w: n + F.least(times(wa, w), times(wb, w)))
-    dice = F.when((F.size(wa) == 0) | (F.size(wb) == 0), 0.0).otherwise(2.0 * shared / (F.size(wa) + F.size(wb)))
+
+def similarity_of(a: Column, b: Column, compact_a: Column, compact_b: Column, bag_a: Column, bag_b: Column) -> Column:
+    """0 to 1 (TXT8) from the forms and what ``similarity_forms`` makes of them: 1 if equal (spaces
+    aside), the ratio of lengths if one holds the other, else the Dice coefficient of the bags."""
+    la, lb = F.length(compact_a).cast("double"), F.length(compact_b).cast("double")
+    n = F.size(bag_a) + F.size(bag_b)
     return (
         F.when((a == "") | (b == ""), 0.0)
-        .when((a == b) | (ca == cb), 1.0)
-        .when(F.contains(ca, cb) | F.contains(cb, ca), F.least(la, lb) / F.greatest(la, lb))
-        .otherwise(dice)
+        .when((a == b) | (compact_a == compact_b), 1.0)
+        .when(F.contains(compact_a, compact_b) | F.contains(compact_b, compact_a), F.least(la, lb) / F.greatest(la, lb))
+        .when((F.size(bag_a) == 0) | (F.size(bag_b) == 0), 0.0)
+        .otherwise(2.0 * F.size(F.array_intersect(bag_a, bag_b)) / n)
     )
 
 
+def similarity(a: Column, b: Column) -> Column:
+    """The same (TXT8) for two evidence forms that are columns of their own."""
+    fa, fb = similarity_forms(a), similarity_forms(b)
+    return similarity_of(a, b, fa["compact"], fb["compact"], fa["bag"], fb["bag"])
+
+
 def has_letter(c: Column) -> Column:
     return c.rlike(r"\p{L}")
 

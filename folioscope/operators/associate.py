@@ -15,15 +15,33 @@ def _buckets(low: Column, high: Column, size: float, more: int = 0) -> Column:
 
 
 def candidates(native: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """What a reading may match: lines first, then single observations, numbered in that order."""
-    keep = ["page_id", "candidate", "kind", "native_ids", "text", "x0", "y0", "x1", "y1", "members", "nth"]
-    member = F.struct("x0", "y0", "x1", "y1")
-    items = native.select("*", F.concat(F.lit("item:"), "id").alias("candidate"), F.lit("item").alias("kind"), F.array("id").alias("native_ids"), F.array(member).alias("members"), F.struct(F.lit(1), F.col("ord").cast("int")).alias("nth")).select(*keep)
+    """What a reading may match: lines first, then single observations.
+
+    ``candidate`` numbers them in that order within a page. An observation that is alone on its
+    line would score as the line does and come after it, so it is left out. ``lines`` comes
+    from ``native_lines``, whose members save a join.
+    """
+    member = lambda m: F.struct(m["x0"].alias("x0"), m["y0"].alias("y0"), m["x1"].alias("x1"), m["y1"].alias("y1"))
+    item = lambda m: F.struct((m["ord"].cast("long") + ITEMS).alias("candidate"), F.lit("item").alias("kind"), F.array(m["id"]).alias("native_ids"), m["text"].alias("text"), m["x0"].alias("x0"), m["y0"].alias("y0"), m["x1"].alias("x1"), m["y1"].alias("y1"), F.array(member(m)).alias("members"))
     if lines is None:
-        return items
-    parts = lines.select("page_id", "line", F.explode("source_ids").alias("id")).join(native.select("page_id", "id", member.alias("m")), ["page_id", "id"]).groupBy("page_id", "line").agg(F.collect_list("m").alias("members"))
-    own = lines.join(parts, ["page_id", "line"]).select("*", F.col("id").alias("candidate"), F.lit("line").alias("kind"), F.col("source_ids").alias("native_ids"), F.struct(F.lit(0), F.col("line").cast("int")).alias("nth")).select(*keep)
-    return own.unionByName(items)
+        row = F.struct("ord", "id", "text", "x0", "y0", "x1", "y1")
+        return native.select("page_id", row.alias("m")).select("page_id", item(F.col("m")).alias("c")).select("page_id", "c.*")
+    line = F.struct(F.col("line").cast("long").alias("candidate"), F.lit("line").alias("kind"), F.col("source_ids").alias("native_ids"), F.col("text").alias("text"), "x0", "y0", "x1", "y1", F.transform("members", member).alias("members"))
+    own = F.when(F.size("members") > 1, F.concat(F.array(line), F.transform("members", item))).otherwise(F.array(line))
+    return lines.select("page_id", F.explode(own).alias("c")).select("page_id", "c.*")
+
+
+#: Numbers of single observations begin here, those of lines at 0.
+ITEMS = 10**10
+
+
+def _prepared(df: DataFrame, prefix: str, text: str, fold: bool) -> DataFrame:
+    """Adds all that comparisons need of a text, once a row: form, compact form, bag, tokens, letters."""
+    df = df.withColumns({f"{prefix}form": T.evidence_text(F.col(text), fold=fold), f"{prefix}tokens": T.critical_tokens(F.col(text), fold=fold), f"{prefix}lettered": T.has_letter(F.col(text))})
+    return df.withColumns({f"{prefix}{k}": c for k, c in T.similarity_forms(F.col(f"{prefix}form")).items()})
+
+
+_O_BOX = {"x0": "o_x0", "y0": "o_y0", "x1": "o_x1", "y1": "o_y1"}
 
 
 def scored_pairs(cands: DataFrame, ocr: DataFrame, *, scale: float = K.REFERENCE_SCALE, bucket: float | None = None, fold: bool = True) -> DataFrame:
@@ -31,58 +49,87 @@ def scored_pairs(cands: DataFrame, ocr: DataFrame, *, scale: float = K.REFERENCE
 
     Both sides are spread over horizontal bands, the reading's side one band wider, and meet
     by page and band: an equi join whose size follows the text, not pages squared. A pair that
-    meets in several bands is kept in the first. Texts are normalised before the join.
+    meets in several bands is kept in the first. All that is made of one text is made before.
     """
     size = bucket or K.BUCKET_PT * scale
-    left = cands.withColumns({"n_text": T.evidence_text(F.col("text"), fold=fold), "n_tokens": T.critical_tokens(F.col("text"), fold=fold)})
+    left = _prepared(cands.select("page_id", "candidate", "text", "x0", "y0", "x1", "y1", "members"), "n_", "text", fold).drop("text")
     left = left.withColumn("first", F.floor(F.col("y0") / size)).withColumn("band", F.explode(_buckets(F.col("y0"), F.col("y1"), size)))
-    right = ocr.select("page_id", F.col("id").alias("ocr_id"), F.col("ord").alias("ocr_ord"), F.col("text").alias("ocr_text"), *[F.col(c).alias(f"o_{c}") for c in ("x0", "y0", "x1", "y1")], "recovery_method")
-    right = right.withColumns({"o_text": T.evidence_text(F.col("ocr_text"), fold=fold), "o_tokens": T.critical_tokens(F.col("ocr_text"), fold=fold), "o_first": F.floor(F.col("o_y0") / size) - 1})
+    right = ocr.select("page_id", F.col("id").alias("ocr_id"), F.col("ord").alias("ocr_ord"), "text", *[F.col(c).alias(n) for c, n in _O_BOX.items()], F.col("recovery_method").isNotNull().alias("recovered"))
+    right = _prepared(right, "o_", "text", fold).drop("text").withColumn("o_first", F.floor(F.col("o_y0") / size) - 1)
     right = right.withColumn("band", F.explode(_buckets(F.col("o_y0"), F.col("o_y1"), size, 1)))
     pairs = left.join(right, ["page_id", "band"]).where(F.col("band") == F.greatest("first", "o_first"))
     o = G.box("o_")
-    geometric = F.array_max(F.transform("members", lambda m: G.overlap_over_smaller((m["x0"], m["y0"], m["x1"], m["y1"]), o)))
-    textual = T.similarity(F.col("n_text"), F.col("o_text"))
+    of_many = F.array_max(F.transform("members", lambda m: G.overlap_over_smaller((m["x0"], m["y0"], m["x1"], m["y1"]), o)))
+    geometric = F.when(F.size("members") > 1, of_many).otherwise(G.overlap_over_smaller(G.box(), o))
+    textual = T.similarity_of(*[F.col(f"{p}{k}") for k in ("form", "compact", "bag") for p in ("n_", "o_")])
     pairs = pairs.withColumns({"geometric": geometric, "textual": textual})
     return pairs.withColumn("score", F.col("textual") * K.TEXT_WEIGHT + F.col("geometric") * K.GEOMETRY_WEIGHT)
 
 
-def associate(native: DataFrame, ocr: DataFrame, lines: DataFrame | None = None, *, scale: float = K.REFERENCE_SCALE, bucket: float | None = None, fold: bool = True) -> DataFrame:
-    """One row per reading that matches or conflicts (JOIN2, JOIN3, WIN1, FLT4-FLT6).
+def _packed(*parts: tuple[Column, int]) -> Column:
+    """Numbers of so many digits each as one decimal, the first the weightiest: an order that fits
+    into the fixed-width buffer of a hash aggregation, as a struct does not."""
+    digits, out = 0, None
+    for value, width in reversed(parts):
+        part = F.floor(value).cast("decimal(18,0)")
+        part = (part * F.lit(str(10**digits)).cast(f"decimal({digits + 1},0)")).cast("decimal(38,0)") if digits else part.cast("decimal(38,0)")
+        out = part if out is None else (out + part).cast("decimal(38,0)")
+        digits += width
+    return out
+
+
+_PLACE = 10**15 - 1
+
+
+def verdicts(native: DataFrame, ocr: DataFrame, lines: DataFrame | None = None, *, scale: float = K.REFERENCE_SCALE, bucket: float | None = None, fold: bool = True) -> DataFrame:
+    """One row per reading that matches or conflicts, by numbers only: ``page_id``, ``ocr_id``,
+    ``ocr_ord``, ``verdict``, ``candidate``, ``textual``, ``geometric``, ``confidence``
+    (JOIN2, JOIN3, WIN1, FLT4-FLT6).
 
     ``verdict`` is ``match``, ``critical-token-disagreement`` or ``critical-token-omission``. A
-    conflict takes the place of the match; readings of a recovery pass never conflict. Ties go
-    to the candidate met first: by band, then in candidate order.
+    conflict takes the place of the match; readings of a recovery pass never conflict. Scores
+    that agree to nine digits are a tie; ties go to the candidate met first, by band, then in
+    candidate order. A pair that can be neither a match nor a conflict goes before the
+    aggregation, which carries fixed-width numbers only: partial hash aggregates, no sort.
     """
     pairs = scored_pairs(candidates(native, lines), ocr, scale=scale, bucket=bucket, fold=fold)
-    tie = F.struct(F.col("band"), F.col("nth"))
-    digits = T.numeric_only(F.col("ocr_text"), F.col("o_tokens"))
+    digits = (F.size("o_tokens") > 0) & ~F.col("o_lettered")
     texted = (F.col("geometric") >= K.CONFLICT_GEOMETRY) & (F.col("textual") >= K.CONFLICT_TEXT)
-    numbered = digits & (F.col("geometric") >= K.NUMERIC_GEOMETRY) & (F.size("n_tokens") == F.size("o_tokens")) & (F.size("n_tokens") > 0) & ~T.has_letter(F.col("text"))
-    what = F.struct("kind", "native_ids", "text", "n_tokens", "textual", "geometric", "score")
-    down = lambda c: -F.col(c)
-    # the three ways to choose a candidate are minima over one grouping: no sort, partial aggregation
-    chosen = pairs.groupBy("page_id", "ocr_id").agg(
-        F.first("ocr_ord").alias("ocr_ord"),
-        F.first("ocr_text").alias("ocr_text"),
-        F.first("o_tokens").alias("o_tokens"),
-        F.first("recovery_method").alias("recovery_method"),
-        F.min_by(what, F.struct(down("score"), tie)).alias("best"),
-        F.min_by(F.when(texted, what), F.when(texted, F.struct(down("textual"), down("geometric"), tie))).alias("texted"),
-        F.min_by(F.when(numbered, what), F.when(numbered, F.struct(down("geometric"), tie))).alias("numbered"),
-    )
-    local = F.coalesce("texted", "numbered")
-    chosen = chosen.withColumn("local", local)
-    tokens = F.coalesce(F.col("local.n_tokens"), F.expr("cast(array() as array<struct<core:string,tail:string>>)"))
-    disputed = F.col("local").isNotNull() & F.col("recovery_method").isNull() & ((F.size(tokens) > 0) | (F.size("o_tokens") > 0)) & ~T.tokens_agree(tokens, F.col("o_tokens"))
-    reason = F.when((F.size(tokens) > 0) & (F.size("o_tokens") > 0), "critical-token-disagreement").otherwise("critical-token-omission")
-    matched = (F.col("best.textual") >= K.MATCH_TEXT) & (F.col("best.geometric") >= K.MATCH_GEOMETRY)
-    verdict = F.when(disputed, reason).when(matched, "match")
-    side = F.when(verdict == "match", F.col("best")).otherwise(F.col("local"))
-    return chosen.withColumns({"verdict": verdict, "side": side}).where(F.col("verdict").isNotNull()).select(
-        "page_id", "ocr_id", "ocr_ord", "verdict", F.col("side.kind").alias("kind"), F.col("side.native_ids").alias("native_ids"), F.col("side.text").alias("native_text"), "ocr_text",
-        F.transform(F.col("side.n_tokens"), T.token_text).alias("native_tokens"), F.transform("o_tokens", T.token_text).alias("ocr_tokens"),
-        F.col("side.textual").alias("textual"), F.col("side.geometric").alias("geometric"), F.least(F.lit(1.0), F.col("side.score")).alias("confidence"),
+    numbered = digits & (F.col("geometric") >= K.NUMERIC_GEOMETRY) & (F.size("n_tokens") == F.size("o_tokens")) & ~F.col("n_lettered")
+    # the least score of a match; what scores less neither matches nor hides one that does
+    useful = F.col("score") >= K.TEXT_WEIGHT * K.MATCH_TEXT + K.GEOMETRY_WEIGHT * K.MATCH_GEOMETRY - 1e-9
+    pairs = pairs.withColumns({"texted": texted, "numbered": numbered}).where(useful | F.col("texted") | F.col("numbered"))
+    place = F.lit(_PLACE) - ((F.col("band") - F.col("o_first")) * 10**11 + F.col("candidate"))
+    share = lambda c, n: F.round(F.col(c) * 10.0**n)
+    best = F.when(useful, _packed((share("score", 9), 10), (place, 15)))
+    local = F.when(F.col("texted"), _packed((share("textual", 9), 10), (share("geometric", 9), 10), (place, 15))).when(F.col("numbered"), _packed((share("geometric", 9), 10), (place, 15)))
+    some = (F.size("n_tokens") > 0) & (F.size("o_tokens") > 0)
+    none = (F.size("n_tokens") == 0) & (F.size("o_tokens") == 0)
+    # 0: the tokens agree, 1: they differ, 2: one side has none
+    dispute = F.when(~(F.col("texted") | F.col("numbered")) | F.col("recovered") | none, 0).when(T.tokens_agree(F.col("n_tokens"), F.col("o_tokens")), 0).when(some, 1).otherwise(2)
+    narrow = pairs.select("page_id", "ocr_id", "ocr_ord", "textual", "geometric", "score", best.alias("best"), local.alias("local"), dispute.alias("dispute"), "candidate")
+    by = lambda c, key: F.max_by(c, key).alias(f"{key}_{c}")
+    chosen = narrow.groupBy("page_id", "ocr_id").agg(F.max("ocr_ord").alias("ocr_ord"), *[by(c, k) for k in ("best", "local") for c in ("textual", "geometric", "score", "candidate")], by("dispute", "local"))
+    conflict = F.coalesce(F.col("local_dispute"), F.lit(0)) > 0
+    matched = (F.col("best_textual") >= K.MATCH_TEXT) & (F.col("best_geometric") >= K.MATCH_GEOMETRY)
+    verdict = F.when(conflict, F.when(F.col("local_dispute") == 1, "critical-token-disagreement").otherwise("critical-token-omission")).when(matched, "match")
+    side = lambda c: F.when(conflict, F.col(f"local_{c}")).otherwise(F.col(f"best_{c}")).alias(c)
+    return chosen.withColumn("verdict", verdict).where("verdict is not null").select("page_id", "ocr_id", "ocr_ord", "verdict", side("candidate"), side("textual"), side("geometric"), side("score")).withColumn("confidence", F.least(F.lit(1.0), F.col("score"))).drop("score")
+
+
+def associate(native: DataFrame, ocr: DataFrame, lines: DataFrame | None = None, *, scale: float = K.REFERENCE_SCALE, bucket: float | None = None, fold: bool = True, texts: bool = True) -> DataFrame:
+    """``verdicts`` with the chosen candidate's kind and sources and, with ``texts``, both sides' texts
+    and critical tokens, which are joined back to the chosen rows only."""
+    v = verdicts(native, ocr, lines, scale=scale, bucket=bucket, fold=fold)
+    keep = ["kind", "native_ids", *(["text"] if texts else [])]
+    df = v.join(candidates(native, lines).select("page_id", "candidate", *keep), ["page_id", "candidate"])
+    if not texts:
+        return df.select("page_id", "ocr_id", "ocr_ord", "verdict", "kind", "native_ids", "textual", "geometric", "confidence")
+    df = df.join(ocr.select("page_id", F.col("id").alias("ocr_id"), F.col("text").alias("ocr_text")), ["page_id", "ocr_id"])
+    shown = lambda c: F.transform(T.critical_tokens(F.col(c), fold=fold), T.token_text)
+    return df.select(
+        "page_id", "ocr_id", "ocr_ord", "verdict", "kind", "native_ids", F.col("text").alias("native_text"), "ocr_text",
+        shown("text").alias("native_tokens"), shown("ocr_text").alias("ocr_tokens"), "textual", "geometric", "confidence",
     )
 
 
