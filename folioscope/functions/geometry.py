@@ -68,17 +68,47 @@ def is_conformal(m: Column, tolerance: float = 1e-6) -> Column:
     """Uniform scale, no shear, invertible (part of GEO8)."""
     a, b, c, d = m[0], m[1], m[2], m[3]
     first, second = F.sqrt(a * a + b * b), F.sqrt(c * c + d * d)
-    return (F.abs(a * d - b * c) > tolerance) & (F.abs(first - second) <= tolerance * F.greatest(first, second)) & (F.abs(a * c + b * d) <= tolerance * first * second)
+    return (first > 0) & (second > 0) & (F.abs(first - second) <= tolerance * F.greatest(first, second)) & (F.abs(a * c + b * d) <= tolerance * first * second)
 
 
-def pixels_per_point(m: Column, width: Column, height: Column, point_width: Column, point_height: Column, rotation: Column) -> Column:
-    """From the matrix, else from the bounds with regard to rotation, else 1.6 (GEO9)."""
+def point_bounds(bounds: Column, point_width: Column, point_height: Column) -> Column:
+    """Declared bounds, else those of a page of the declared size, else null (GEO7): an array x0, y0, x1, y1."""
+    sized = (point_width != 0) & (point_height != 0)
+    return F.coalesce(bounds, F.when(sized, F.array(F.lit(0.0), F.lit(0.0), point_width.cast("double"), point_height.cast("double"))))
+
+
+def pixels_per_point(m: Column, width: Column, bounds: Column, rotation: Column) -> Column:
+    """From the matrix, else the width over that of the bounds (over their height if the page is turned
+    by anything but a half circle), else 1.6 (GEO9)."""
     from folioscope.constants import REFERENCE_SCALE
 
     by_matrix = F.sqrt(m[0] * m[0] + m[1] * m[1])
-    turned = F.pmod(rotation, F.lit(180.0)) == 90
-    by_bounds = F.when(turned, F.least(width / point_height, height / point_width)).otherwise(F.least(width / point_width, height / point_height))
-    return F.coalesce(F.when(by_matrix > 0, by_matrix), F.when(by_bounds > 0, by_bounds), F.lit(REFERENCE_SCALE))
+    usable = (by_matrix > 0) & (by_matrix < float("inf")) & ~F.isnan(by_matrix)
+    upright = F.pmod(F.coalesce(rotation, F.lit(0)), F.lit(180)) == 0
+    by_bounds = width / F.when(upright, bounds[2] - bounds[0]).otherwise(bounds[3] - bounds[1])
+    return F.coalesce(F.when(usable, by_matrix), by_bounds, F.lit(REFERENCE_SCALE))
+
+
+def fits_page(m: Column, bounds: Column, width: Column, height: Column, tolerance: float = 1.01) -> Column:
+    """The matrix is finite, conformal and invertible and takes the bounds to the rendered page (GEO8);
+    renderers round sizes up, so an edge may be off by a pixel. Without a matrix there is nothing to fit."""
+    finite = F.forall(m, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    x0, y0, x1, y1 = render_box((bounds[0], bounds[1], bounds[2], bounds[3]), m)
+    near = (F.abs(x0) <= tolerance) & (F.abs(y0) <= tolerance) & (F.abs(x1 - width) <= tolerance) & (F.abs(y1 - height) <= tolerance)
+    invertible = F.abs(m[0] * m[3] - m[1] * m[2]) >= 1e-12
+    return F.when(m.isNull(), True).otherwise(F.coalesce(bounds.isNotNull() & finite & is_conformal(m) & invertible & near, F.lit(False)))
+
+
+def merge_geometry(native: dict[str, Column], rendered: dict[str, Column]) -> dict[str, Column]:
+    """Field by field what the renderer says, else what the native reader says (GEO23); the size is the renderer's."""
+    out = {k: F.coalesce(rendered[k], native[k]) if k in native and k in rendered else rendered.get(k, native.get(k)) for k in [*native, *[k for k in rendered if k not in native]]}
+    return {**out, "width": rendered["width"], "height": rendered["height"]}
+
+
+def box_of_polygon(points: Column) -> tuple[Column, Column, Column, Column]:
+    """Envelope of a reading's polygon, an array of ``struct(x, y)`` (GEO21)."""
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
 
 
 def render_box(b: Box, m: Column) -> Box:
@@ -93,15 +123,20 @@ def from_crop(b: Box, origin: tuple[Column, Column], zoom: Column) -> Box:
     return b[0] / zoom + origin[0], b[1] / zoom + origin[1], b[2] / zoom + origin[0], b[3] / zoom + origin[1]
 
 
-def crop_window(b: Box, margin: Column, width: Column, height: Column) -> Box:
-    """A box with a margin, kept on the page (GEO17)."""
-    zero = F.lit(0.0)
-    return F.greatest(zero, b[0] - margin), F.greatest(zero, b[1] - margin), F.least(width, b[2] + margin), F.least(height, b[3] + margin)
+def crop_window(b: Box, scale: Column, dpi: float, margin_pt: float | None = None) -> tuple[Column, Column, Column, Column]:
+    """x, y, width, height of a rendered box's crop in whole pixels at ``dpi``, with a margin; the origin
+    stays on the page, the size does not shrink for it (GEO17)."""
+    from folioscope.constants import REGION_MARGIN_PT
+
+    at = lambda v: F.floor(v / scale * dpi / 72 + 0.5).cast("long")
+    margin = at((REGION_MARGIN_PT if margin_pt is None else margin_pt) * scale)
+    zero = F.lit(0).cast("long")
+    return F.greatest(zero, at(b[0]) - margin), F.greatest(zero, at(b[1]) - margin), at(b[2]) - at(b[0]) + 2 * margin, at(b[3]) - at(b[1]) + 2 * margin
 
 
 def to_normalized(b: Box, width: Column, height: Column) -> tuple[Column, Column, Column, Column]:
-    """ymin, xmin, ymax, xmax in 0 to 1000 (GEO16)."""
-    at = lambda v, full: F.least(F.lit(1000.0), F.greatest(F.lit(0.0), F.floor(v / full * 1000 + 0.5)))
+    """ymin, xmin, ymax, xmax in thousandths of the page (GEO16); a box beyond the page keeps its place."""
+    at = lambda v, full: F.floor(v / full * 1000 + 0.5).cast("long")
     return at(b[1], height), at(b[0], width), at(b[3], height), at(b[2], width)
 
 
@@ -130,5 +165,5 @@ def box_key(b: Box) -> Column:
 
 
 def reading_key(b: Box, bucket: float = 12.0) -> list[Column]:
-    """Sort columns: 12-pixel row, then x (GEO18)."""
-    return [F.floor((b[1] + b[3]) / 2 / bucket), (b[0] + b[2]) / 2]
+    """Sort columns: nearest 12-pixel row, then x (GEO18)."""
+    return [F.floor((b[1] + b[3]) / 2 / bucket + 0.5), (b[0] + b[2]) / 2]

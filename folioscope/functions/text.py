@@ -24,7 +24,19 @@ WORD = r"[\p{L}\p{N}%£€$+.,:/-]+"
 CORE = r"[+-]?\d(?:[\d.,:/-]*\d)?"
 CRITICAL = r"(?:[+-] ?)?(?:\p{Sc} ?)?(?:[+-] ?)?\d(?:[\d.,:/-]*\d)?(?: ?[%‰‱])?(?: ?\p{Sc})?(?: ?(\p{L}+)(?! ?[+-]?\p{Sc}?[+-]?\d))?"
 YEAR = r"(?:19|20)\d{2}"
-EVALUATION_TOKEN = r"[+-]?[$£€]?\d[\d,.]*(?:%|ppt|bp|[xkmbn])?"
+EVALUATION_TOKEN = r"[£€$¥]?\(?[+\-−–—]?\d+(?:[.,]\d+)*(?:%|ppt|bp|[xkmbn\u212a])?\)?"
+EVALUATION_DASHES = "−–—"
+# Rewriting of readings into their comparable form, as (pattern, replacement) in order.
+SIGN_AFTER_CURRENCY = rf"([$£€])[{SPACES}]*([+-])[{SPACES}]*", "$2$1"
+SIGN_BEFORE_CURRENCY = rf"([+-])[{SPACES}]*([$£€])[{SPACES}]*", "$1$2"
+SPACED_PERCENT = rf"(\d[\d,.]*(?:\.\d+)?)[{SPACES}]+%", "$1%"
+NOT_EVIDENCE = r"[^\p{L}\p{N}%£€$+.-]+", " "
+GROUPED_DIGITS = rf"(?<=\d)[{GROUP_SPACES}](?=\d{{3}}(?!\d))", ""
+INVISIBLE = r"\p{Cf}", ""
+WIDE_SPACES = "[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]", " "
+ACCOUNTING = r"\(\s*((?:\p{Sc}|[+-])?\s?\d[\d.,:/-]*\d?\s?[%‰‱]?)\s*\)", "-$1"
+# What may not stand next to a part that is looked for.
+GUARD = r"[\p{N}\p{Lu}\p{Ll}]"
 
 
 def nfkc(c: Column) -> Column:
@@ -47,21 +59,19 @@ def evidence_text(c: Column, *, fold: bool = True) -> Column:
     c = F.coalesce(c, F.lit(""))
     c = F.lower(nfkc(c) if fold else c)
     c = F.translate(c, DASHES, "-" * len(DASHES))
-    c = _any(c, rf"([$£€])[{SPACES}]*([+-])[{SPACES}]*", "$2$1")
-    c = _any(c, rf"([+-])[{SPACES}]*([$£€])[{SPACES}]*", "$1$2")
-    c = _any(c, rf"(\d[\d,.]*(?:\.\d+)?)[{SPACES}]+%", "$1%")
-    return F.trim(_any(c, r"[^\p{L}\p{N}%£€$+.-]+", " "))
+    for rule in (SIGN_AFTER_CURRENCY, SIGN_BEFORE_CURRENCY, SPACED_PERCENT, NOT_EVIDENCE):
+        c = _any(c, *rule)
+    return F.trim(c)
 
 
 def canonical_critical(c: Column, *, fold: bool = True) -> Column:
     """Form in which critical tokens are found (TXT2)."""
-    c = _any(F.coalesce(c, F.lit("")), rf"(?<=\d)[{GROUP_SPACES}](?=\d{{3}}(?!\d))", "")
+    c = _any(F.coalesce(c, F.lit("")), *GROUPED_DIGITS)
     c = F.lower(nfkc(c) if fold else c)
-    c = _any(c, r"\p{Cf}", "")
-    c = _any(c, "[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]", " ")
+    c = _any(_any(c, *INVISIBLE), *WIDE_SPACES)
     c = F.translate(c, DASHES, "-" * len(DASHES))
     c = F.replace(c, F.lit("\u2044"), F.lit("/"))
-    return _any(c, r"\(\s*((?:\p{Sc}|[+-])?\s?\d[\d.,:/-]*\d?\s?[%‰‱]?)\s*\)", "-$1")
+    return _any(c, *ACCOUNTING)
 
 
 def critical_tokens(c: Column, *, fold: bool = True) -> Column:
@@ -168,14 +178,21 @@ def is_blank(c: Column) -> Column:
 
 
 def evaluation_tokens(c: Column) -> Column:
-    """Looser numbers used in scoring (TXT12); every character class works in DuckDB as well."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(EVALUATION_TOKEN), F.lit(0))
+    """Numbers as scoring sees them, normalised (TXT12, TXT13)."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"(?i){EVALUATION_TOKEN}"), F.lit(0))
+    return F.transform(found, evaluation_token_normal)
 
 
 def evaluation_token_normal(c: Column) -> Column:
-    """Lower case, plain dash, no commas, accounting negative (TXT13)."""
-    c = F.translate(F.lower(F.trim(c)), DASHES, "-" * len(DASHES))
-    return F.replace(_any(c, r"^\((.*)\)$", "-$1"), F.lit(","), F.lit(""))
+    """Lower case, plain dash, accounting negative, no commas (TXT13).
+
+    Of what a token can hold only the Kelvin sign has another compatibility form, so folding
+    is that one replacement and stays native.
+    """
+    c = F.translate(F.lower(F.replace(c, F.lit("\u212a"), F.lit("k"))), EVALUATION_DASHES, "-" * len(EVALUATION_DASHES))
+    bracketed = c.startswith("(") & c.endswith(")")
+    inner = F.when(bracketed, F.substring(c, F.lit(2), F.length(c) - 2)).otherwise(c)
+    return F.concat(F.when(bracketed, F.lit("-")).otherwise(F.lit("")), F.replace(inner, F.lit(","), F.lit("")))
 
 
 def strip_currency(c: Column) -> Column:
@@ -184,21 +201,56 @@ def strip_currency(c: Column) -> Column:
 
 
 def currency_compatible(a: Column, b: Column) -> Column:
-    """Currency signs are equal, or missing on one side (TXT14)."""
-    sign = lambda x: F.regexp_extract(x, r"\p{Sc}", 0)
-    return (sign(a) == "") | (sign(b) == "") | (sign(a) == sign(b))
+    """All currency signs are equal, or missing on one side (TXT14)."""
+    signs = lambda x: F.regexp_replace(x, r"[^\p{Sc}]", "")
+    return (signs(a) == "") | (signs(b) == "") | (signs(a) == signs(b))
+
+
+def retrieval_normal(c: Column) -> Column:
+    """Without currency signs, lower case, one space between words (TXT15)."""
+    c = F.lower(strip_currency(F.coalesce(c, F.lit(""))))
+    return F.trim(_any(c, rf"[{SPACES}]+", " "))
 
 
 def retrieval_terms(c: Column) -> Column:
-    """Lower-case runs of letters and digits (TXT15)."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits of the retrieval form (TXT15)."""
+    return F.regexp_extract_all(retrieval_normal(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def answer_form(c: Column) -> Column:
+    """The retrieval form without commas, in which answers are compared (TXT15)."""
+    return F.replace(retrieval_normal(c), F.lit(","), F.lit(""))
+
+
+def answer_parts(c: Column) -> Column:
+    """Lower-case words of an answer that hold a letter or digit (TXT15)."""
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), rf"[{SPACES}]+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+
+
+def guarded_pattern(part: str) -> str:
+    """The part with nothing glued on: no digit or cased letter, no number going on (TXT16)."""
+    import re
+
+    return rf"(?<!{GUARD})(?<!\p{{N}}[,.]){re.escape(part)}(?!{GUARD})(?![,.]\p{{N}})"
 
 
 def guarded_contains(text: Column, part: str) -> Column:
-    """The part stands in the text with no digit or letter glued on and no number going on (TXT16)."""
+    """The part stands in the text by itself (TXT16)."""
+    return text.rlike(guarded_pattern(part))
+
+
+def holds_answer(chunk: Column, answer: str) -> Column:
+    """Every part of an answer stands in a chunk by itself, next to no other currency (TXT16)."""
     import re
 
-    return text.rlike(rf"(?<![\p{{L}}\p{{N}}])(?<!\d[.,]){re.escape(part)}(?![\p{{L}}\p{{N}}])(?![.,]\d)")
+    ok = F.lit(True)
+    lower = F.lower(chunk)
+    for part in re.split(rf"[{SPACES}]+", answer.lower()):
+        bare = "".join(c for c in part if unicodedata.category(c) != "Sc")
+        if any(unicodedata.category(c)[0] in "LN" for c in bare):
+            seen = F.regexp_extract_all(lower, F.lit(rf"\p{{Sc}}*{guarded_pattern(bare)}\p{{Sc}}*"), F.lit(0))
+            ok = ok & F.exists(seen, lambda x: currency_compatible(x, F.lit(part)))  # noqa: B023
+    return ok
 
 
 def text_key(c: Column) -> Column:
@@ -208,7 +260,7 @@ def text_key(c: Column) -> Column:
 
 def xml_escape(c: Column) -> Column:
     """Markup characters as entities, control characters visible (TXT20)."""
-    for raw, to in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+    for raw, to in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(raw), F.lit(to))
     for code in [*range(9), 11, 12, *range(14, 32)]:
         c = F.replace(c, F.lit(chr(code)), F.lit(f"\\x{code:02x}"))
@@ -228,12 +280,42 @@ def is_suspicious(c: Column) -> Column:
     return c.rlike("[\\p{Cc}\\p{Co}\\p{Cn}\ufffd&&[^\\t\\n\\r]]")
 
 
+#: Characters that stand for a number but are letters by category (Han numerals and the like).
+_LETTER_NUMERALS = "".join(chr(i) for i in range(0x250, 0x10000) if unicodedata.category(chr(i))[0] == "L" and unicodedata.numeric(chr(i), None) is not None)
+
+
 def is_numeric(c: Column) -> Column:
     """Holds a numeral of any script (TXT23)."""
-    return c.rlike(r"\p{N}")
+    return c.rlike(rf"[\p{{N}}{_LETTER_NUMERALS}]")
 
 
 def table_rows(markdown: Column) -> Column:
     """Cells of the pipe-table rows of a Markdown text, without rules (TXT19)."""
     lines = F.filter(F.split(markdown, "\n"), lambda x: F.trim(x).startswith("|") & ~x.rlike(r"^[\s|:\-]+$"))
     return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), F.trim))
+
+
+def html_tables(markdown: Column) -> Column:
+    """The text with each run of pipe-table lines as an HTML table, its first row as the head (TXT22)."""
+    cell = lambda x, tag: F.concat(F.lit(f"<{tag}>"), F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit(f"</{tag}>"))
+    cells = lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), F.trim)
+    row = lambda x, tag: F.concat(F.lit("<tr>"), F.array_join(F.transform(cells(x), lambda y: cell(y, tag)), ""), F.lit("</tr>"))
+    is_row, is_rule = (lambda x: F.trim(x).startswith("|")), (lambda x: x.rlike(r"^[\s|:\-]+$"))
+    lines = F.split(F.coalesce(markdown, F.lit("")), "\n")
+    before = lambda i: F.coalesce(F.when(i > 0, is_row(F.get(lines, i - 1))), F.lit(False))
+    after = lambda i: F.coalesce(is_row(F.get(lines, i + 1)), F.lit(False))
+    one = lambda x, i: F.when(~is_row(x), x).otherwise(
+        F.concat(F.when(before(i), F.lit("")).otherwise(F.lit("<table>")), F.when(is_rule(x), F.lit("")).when(before(i), row(x, "td")).otherwise(row(x, "th")), F.when(after(i), F.lit("")).otherwise(F.lit("</table>")))
+    )
+    return F.array_join(F.filter(F.transform(lines, one), lambda x: x != ""), "\n")
+
+
+def word_bag(c: Column) -> Column:
+    """Lower-case words of letters, digits and underscores (TXT27)."""
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
+def token_contained(text: Column, token: Column, *, without_currency: bool = False) -> Column:
+    """A token stands in a text, strictly or with currency signs aside (TXT27); an empty one never does."""
+    text, token = (strip_currency(text), strip_currency(token)) if without_currency else (text, token)
+    return (token != "") & F.contains(text, token)

@@ -5,11 +5,14 @@ The order of the claims decides, so this is a fold per page, run in input order.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope import constants as K
 from folioscope.functions import text as T
+from folioscope.functions.numbers import rate
 from folioscope.operators.pages import fold_pages
 
 
@@ -97,33 +100,148 @@ def paired_classes(truth: DataFrame, a: DataFrame, b: DataFrame, *, fold: bool =
     return x.join(y, ["page_id", "id"]).withColumn("class", name)
 
 
-def consume_matches(gold: DataFrame, found: DataFrame, *, tolerant: bool = False, fold: bool = True) -> DataFrame:
-    """One found token for each gold token at most: an exact one first, else a compatible one
-    (JOIN16). ``tolerant`` forgives a currency sign that one side has and the other lacks."""
+def _plain(core: str) -> tuple[str, str]:
+    """A token's core without its currency signs, and the signs."""
+    signs = "".join(c for c in core if unicodedata.category(c) == "Sc")
+    return "".join(c for c in core if c not in signs), signs
+
+
+def _tails_fit(a: dict, b: dict) -> bool:
+    return a["tail"] is None or b["tail"] is None or a["tail"] == b["tail"]
+
+
+def _consume(left: list[dict], t: dict, tolerant: bool) -> bool:
+    """Use up one of ``left`` for a token: an equal one, else the first that fits.
 
-    def plain(core: str) -> str:
-        return core.translate({ord(c): None for c in "$£€¥₹"}) if tolerant else core
+    ``tolerant`` forgives a currency sign that one side lacks, never another sign; a token
+    that is equal but for the sign goes before one that has another tail.
+    """
 
-    def fits(a: dict, b: dict) -> bool:
-        return plain(a["core"]) == plain(b["core"]) and (a["tail"] is None or b["tail"] is None or a["tail"] == b["tail"])
+    def ways():
+        yield lambda x: x["core"] == t["core"] and x["tail"] == t["tail"]
+        if not tolerant:
+            yield lambda x: x["core"] == t["core"] and _tails_fit(x, t)
+            return
+        bare, signs = _plain(t["core"])
+        alike = lambda x: _plain(x["core"])[0] == bare and (not signs or not _plain(x["core"])[1] or _plain(x["core"])[1] == signs)
+        yield lambda x: alike(x) and x["tail"] == t["tail"]
+        yield lambda x: alike(x) and _tails_fit(x, t)
+
+    for fits in ways():
+        k = next((k for k, x in enumerate(left) if fits(x)), None)
+        if k is not None:
+            left.pop(k)
+            return True
+    return False
+
+
+def consume_matches(gold: DataFrame, found: DataFrame, *, tolerant: bool = False, fold: bool = True) -> DataFrame:
+    """How many of a gold text's tokens are found, each found token used once (JOIN16); ``tolerant``
+    forgives a detached currency sign, never a contradicting one."""
 
     def run(rows: list[dict]) -> list[tuple]:
         left = [t for r in rows if r["side"] == 0 for t in r["tokens"]]
+        return [(r["page_id"], r["id"], len(r["tokens"]), sum(_consume(left, t, tolerant) for t in r["tokens"])) for r in rows if r["side"]]
+
+    both = _prepared(found, 0, fold).unionByName(_prepared(gold, 1, fold))
+    kind = gold.schema["page_id"].dataType.simpleString()
+    return fold_pages(both, ["page_id"], ["side", "ord"], run, f"page_id {kind}, id string, tokens int, matched int")
+
+
+def gold_recall(gold: DataFrame, native: DataFrame, ocr: DataFrame, *, fold: bool = True) -> DataFrame:
+    """Recall counters of each page and label tier (AGG16): strict first, then with detached currency
+    forgiven over what the strict pass left. ``gold`` has ``tier`` (human, silver or bulk, scored in
+    this order)."""
+    names = ["tokens", "strict_native", "strict_ocr", "strict_union", "native", "ocr", "union"]
+
+    def run(rows: list[dict]) -> list[tuple]:
+        pools = [[t for r in rows if r["side"] == side for t in r["tokens"]] for side in (0, 1)]
+        out = []
+        for tier in dict.fromkeys(r["tier"] for r in sorted((r for r in rows if r["side"] == 2), key=lambda r: _TIERS.index(r["tier"]))):
+            tokens = [t for r in rows if r["side"] == 2 and r["tier"] == tier for t in r["tokens"]]
+            strict = [[_consume(pool, t, False) for pool in pools] for t in tokens]
+            loose = [[hit or _consume(pool, t, True) for hit, pool in zip(hits, pools)] for hits, t in zip(strict, tokens)]
+            count = lambda hits: [sum(h[0] for h in hits), sum(h[1] for h in hits), sum(any(h) for h in hits)]
+            out.append((rows[0]["page_id"], tier, len(tokens), *count(strict), *count(loose)))
+        return out
+
+    parts = [_prepared(df, side, fold).withColumn("tier", F.lit(None).cast("string")) for side, df in ((0, native), (1, ocr))]
+    own = _prepared(gold, 2, fold).join(gold.select("page_id", "id", "tier"), ["page_id", "id"])
+    kind = gold.schema["page_id"].dataType.simpleString()
+    return fold_pages(parts[0].unionByName(parts[1]).unionByName(own), ["page_id"], ["side", "ord"], run, f"page_id {kind}, tier string, " + ", ".join(f"{n} int" for n in names))
+
+
+#: Label tiers, in the order in which they are scored.
+_TIERS = ["human", "silver", "bulk"]
+
+
+def located_corroboration(proposals: DataFrame, native: DataFrame, *, fold: bool = True) -> DataFrame:
+    """Proposals whose every token an embedded one under their own box vouches for (JOIN17).
+
+    Each embedded token vouches once; a proposal that is not complete gives back what it took;
+    one without a token is not corroborated. Both have a box.
+    """
+    box = ["x0", "y0", "x1", "y1"]
+
+    def run(rows: list[dict]) -> list[tuple]:
+        left = [(t, r) for r in rows if r["side"] == 0 for t in r["tokens"]]
         out = []
         for r in (r for r in rows if r["side"]):
-            hit = 0
+            taken = []
             for t in r["tokens"]:
-                k = next((k for k, x in enumerate(left) if x == t), None)
-                k = next((k for k, x in enumerate(left) if fits(x, t)), None) if k is None else k
-                if k is not None:
-                    left.pop(k)
-                    hit += 1
-            out.append((r["page_id"], r["id"], len(r["tokens"]), hit))
+                near = lambda b: min(b["x1"], r["x1"]) > max(b["x0"], r["x0"]) and min(b["y1"], r["y1"]) > max(b["y0"], r["y0"])  # noqa: B023, E731
+                k = next((k for k, (x, b) in enumerate(left) if x["core"] == t["core"] and _tails_fit(x, t) and near(b)), None)
+                if k is None:
+                    break
+                taken.append(left.pop(k))
+            whole = bool(r["tokens"]) and len(taken) == len(r["tokens"])
+            if not whole:
+                left += taken
+            out.append((r["page_id"], r["id"], whole))
         return out
 
-    both = _prepared(found, 0, fold).unionByName(_prepared(gold, 1, fold))
-    kind = gold.schema["page_id"].dataType.simpleString()
-    return fold_pages(both, ["page_id"], ["side", "ord"], run, f"page_id {kind}, id string, tokens int, matched int")
+    prepared = lambda df, side: df.select("page_id", F.lit(side).alias("side"), "ord", "id", T.critical_tokens(F.col("text"), fold=fold).alias("tokens"), *box)
+    kind = proposals.schema["page_id"].dataType.simpleString()
+    return fold_pages(prepared(native, 0).unionByName(prepared(proposals, 1)), ["page_id"], ["side", "ord"], run, f"page_id {kind}, id string, corroborated boolean")
+
+
+def pool_recall(gold: DataFrame, readings: DataFrame, *, fold: bool = True) -> DataFrame:
+    """Gold tokens of each page that the readings hold, each used once (AGG22): ``page_id``, ``tokens``, ``found``.
+    Called with and without enrichment it gives both recalls."""
+    got = corroborated(gold, readings, fold=fold)
+    return got.groupBy("page_id").agg(F.count("*").alias("tokens"), F.count_if("corroborated").alias("found"))
+
+
+def cross_family_bounds(ocr: DataFrame, second: DataFrame, gold: DataFrame, starved: DataFrame, *, floor: float = K.LOW_CONFIDENCE, fold: bool = True) -> DataFrame:
+    """Precision bounds of what two engine families agree on (AGG23), one row.
+
+    Over starved pages (``page_id``) with gold: first-pass readings that the second engine
+    vouches for give agreed tokens, each of which a gold token may confirm once. The lower
+    bound takes the rest as shared errors, the upper one as right. Agreement on a text without
+    tokens is counted, not scored.
+    """
+
+    def run(rows: list[dict]) -> list[tuple]:
+        side = lambda n: [r for r in rows if r["side"] == n]
+        if not side(0) or not side(1):
+            return []
+        pools = [Pool([t for r in side(n) for t in r["tokens"]], " ".join(r["normal"] for r in side(n) if r["normal"])) for n in (0, 1)]
+        agreed = observations = plain = confirmed = 0
+        for r in side(2):
+            if not pools[0].vouches(r["tokens"], r["normal"]):
+                continue
+            plain += not r["tokens"]
+            observations += bool(r["tokens"])
+            agreed += len(r["tokens"])
+            confirmed += sum(pools[1].vouches([t], "") for t in r["tokens"])
+        return [(rows[0]["page_id"], observations, agreed, confirmed, plain)] if agreed or plain else []
+
+    witnesses = second.where(F.col("confidence").isNull() | (F.col("confidence") >= floor))
+    both = _prepared(witnesses, 0, fold).unionByName(_prepared(gold, 1, fold)).unionByName(_prepared(ocr.where("recovery_method is null"), 2, fold)).join(starved.select("page_id").distinct(), "page_id", "left_semi")
+    kind = ocr.schema["page_id"].dataType.simpleString()
+    pages = fold_pages(both, ["page_id"], ["side", "ord"], run, f"page_id {kind}, observations int, agreed int, confirmed int, plain int")
+    total = pages.agg(F.count("*").alias("pages"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("observations", "agreed", "confirmed", "plain")])
+    return total.withColumns({"lower_bound": rate(F.col("confirmed"), F.col("agreed"), 4), "upper_bound": rate(F.col("agreed"), F.col("agreed"), 4)})
 
 
 def greedy_pairs(pairs: DataFrame, score: Column) -> DataFrame:

@@ -16,6 +16,13 @@ def token_counts(df: DataFrame, keys: list[str], text: str = "text", tokens: Col
     return df.select(*keys, F.explode(found).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
 
 
+def page_token_counts(observations: DataFrame) -> DataFrame:
+    """The same by page for observations with boxes: fragments of one value are put together first (FOLD9, TXT12)."""
+    from folioscope.operators.grouping import coalesce_fragments
+
+    return token_counts(coalesce_fragments(observations), ["page_id"])
+
+
 def token_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Per key and token what is shared and what one side has more (JOIN19, SET8): counts of both
     sides in one union and one partial aggregation."""
@@ -95,10 +102,14 @@ def agreement_by(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("compared"), F.count_if(F.col(a) == F.col(b)).alias("agreed")).withColumn("rate", N.rate(F.col("agreed"), F.col("compared")))
 
 
-def failure_class(message: Column) -> Column:
-    """Class of a failure by its message (FLT18). The classes and what they hold."""
-    m = F.lower(message)
-    return F.when(m.rlike("timeout|timed out"), "timeout").when(m.rlike("memory|oom"), "memory").when(m.rlike("network|fetch|socket"), "network").when(m.rlike("geometry|bounds|transform"), "geometry").when(m.rlike("schema|invalid|parse"), "validation").otherwise("other")
+# Classes of failed pages and the words of their messages.
+ROTATED, OUT_OF_BOUNDS = ("rotat", "unsupported-rotated-native-geometry"), ("outside|out.of.bounds|bounds", "native-geometry-out-of-bounds")
+
+
+def failure_class(message: Column, status: Column, stage: Column) -> Column:
+    """Class of a failed page (FLT18): by its message, else its status, else the stage that failed."""
+    m = F.lower(F.coalesce(message, F.lit("")))
+    return F.when(m.rlike(ROTATED[0]), ROTATED[1]).when(m.rlike(OUT_OF_BOUNDS[0]), OUT_OF_BOUNDS[1]).when(status == "timed_out", "timeout").when(status == "aborted", "aborted").otherwise(F.coalesce(stage, F.lit("other")))
 
 
 def largest_remainder(groups: DataFrame, total: int, size: str = "size") -> DataFrame:

@@ -117,6 +117,12 @@ def contradicted_observations(pairs: DataFrame) -> DataFrame:
     return pairs.join(glyph_mismatches(pairs).select("page_id", "font", "letter"), ["page_id", "font", "letter"], "left_semi").select("page_id", "id").distinct()
 
 
-def latest_samples(df: DataFrame, keys: list[str], order: str, most: int = 5000) -> DataFrame:
-    """The newest rows of a key (WIN10)."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where(F.col("_n") <= most).drop("_n")
+def latest_samples(df: DataFrame, keys: list[str], order: list[str], most: int = 5000, chunks: int = 64) -> DataFrame:
+    """The newest rows of a key (WIN10).
+
+    First the newest of each of ``chunks`` slices of a key, then of what is left, so a key that
+    holds a great part of all rows is no single task: the second step sees ``most`` rows a slice.
+    """
+    newest = lambda *by: F.row_number().over(Window.partitionBy(*keys, *by).orderBy(*[F.desc(c) for c in order]))
+    cut = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(chunks))).withColumn("_n", newest("_slice")).where(F.col("_n") <= most)
+    return cut.withColumn("_n", newest()).where(F.col("_n") <= most).drop("_n", "_slice")

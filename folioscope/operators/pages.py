@@ -7,6 +7,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -24,7 +25,9 @@ def fold_pages(df: DataFrame, keys: list[str], order: list[str], fold: Callable[
     ship(df.sparkSession)
     out_type: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(out_type)
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    # by a hash of the key: over a union whose sides are partitioned by the key itself the planner takes a
+    # repartition by that key for done and drops it, and adaptive execution then parts the sides again
+    ordered = df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page: list[dict[str, Any]] = []

@@ -34,26 +34,54 @@ def failure_groups(pages: DataFrame) -> DataFrame:
     """Failed pages by class, with the first example (AGG13, FLT18)."""
     from folioscope.operators.evaluate import failure_class
 
-    return pages.where("status <> 'success'").withColumn("class", failure_class(F.col("message"))).groupBy("class").agg(F.count("*").alias("pages"), F.min("message").alias("example"))
+    return pages.where("status <> 'success'").withColumn("class", failure_class(F.col("message"), F.col("status"), F.col("stage"))).groupBy("class").agg(F.count("*").alias("pages"), F.min("message").alias("example"))
 
 
 def run_reconciliation(expected: DataFrame, captures: DataFrame) -> DataFrame:
-    """One row per expected request (AGG27): outcome, tries, and latency of the first success.
-    ``captures``: request_id, kind (result or error), spawned_ms, result_ms."""
-    done = captures.groupBy("request_id").agg(
-        F.count("*").alias("tries"), F.count_if(F.col("kind") == "result").alias("results"),
-        F.min_by(F.when(F.col("kind") == "result", F.col("result_ms") - F.col("spawned_ms")), F.when(F.col("kind") == "result", F.col("result_ms"))).alias("latency_ms"),
+    """One row per request of the manifest or the captures (AGG27): ``state`` is missing, unexpected,
+    duplicate or ok, with the number of terminal outputs.
+
+    ``captures``: request_id, kind (result or exception). Both sides are counted in one
+    aggregation, so a request that was tried often is no larger row.
+    """
+    both = expected.select("request_id", F.lit(1).alias("_e"), F.lit(0).alias("_c"), F.lit(None).cast("string").alias("kind")).unionByName(captures.select("request_id", F.lit(0).alias("_e"), F.lit(1).alias("_c"), "kind"))
+    sums = both.groupBy("request_id").agg(F.max("_e").alias("wanted"), F.sum("_c").alias("outputs"), F.count_if(F.col("kind") == "result").alias("results"), F.count_if(F.col("kind") == "exception").alias("exceptions"))
+    state = F.when(F.col("outputs") == 0, "missing").when(F.col("wanted") == 0, "unexpected").when(F.col("outputs") > 1, "duplicate").otherwise("ok")
+    return sums.select("request_id", state.alias("state"), F.col("outputs").cast("long").alias("outputs"), "results", "exceptions")
+
+
+def run_totals(captures: DataFrame, reconciled: DataFrame) -> DataFrame:
+    """One row (AGG27): captures by outcome, requests missing, unexpected or repeated, pages, completion
+    times by linear interpolation and pages a second over the window of the run.
+
+    ``captures``: request_id, kind, status (completed or failed), error, pages_ok,
+    pages_failed, spawned_ms, result_ms.
+    """
+    result = F.col("kind") == "result"
+    rejected = (F.col("kind") == "exception") & F.col("error").rlike("InputRejected|rejected")
+    wall = F.when(F.col("spawned_ms").isNotNull() & F.col("result_ms").isNotNull(), F.col("result_ms") - F.col("spawned_ms"))
+    done = F.when(result, F.coalesce("pages_ok", F.lit(0)) + F.coalesce("pages_failed", F.lit(0)))
+    sums = captures.agg(
+        F.count("*").alias("captured"), F.count_if(result & (F.col("status") == "completed")).alias("completed"), F.count_if(result & (F.col("status") == "failed")).alias("failed"),
+        F.count_if(rejected).alias("rejected"), F.count_if((F.col("kind") == "exception") & ~rejected).alias("other_exceptions"),
+        F.coalesce(F.sum(F.when(result, F.col("pages_ok"))), F.lit(0)).cast("long").alias("pages_ok"), F.coalesce(F.sum(done), F.lit(0)).cast("long").alias("_pages"),
+        N.percentile_linear(wall, 0.5).alias("p50_ms"), N.percentile_linear(wall, 0.95).alias("p95_ms"),
+        (F.max("result_ms") - F.min("spawned_ms")).alias("window_ms"),
     )
-    df = expected.join(done, "request_id", "left")
-    outcome = F.when(F.col("tries").isNull(), "missing").when(F.col("results") == 0, "failed").when(F.col("results") > 1, "duplicate").otherwise("ok")
-    return df.select("request_id", outcome.alias("outcome"), F.coalesce("tries", F.lit(0).cast("long")).alias("tries"), "latency_ms")
+    ids = reconciled.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("missing", "unexpected")], F.count_if(F.col("outputs") > 1).alias("duplicates"))
+    return sums.join(F.broadcast(ids)).withColumn("pages_per_second", F.when(F.col("window_ms") > 0, F.round(F.col("_pages") / (F.col("window_ms") / 1000), 6))).drop("_pages")
 
 
-def run_totals(reconciled: DataFrame, captures: DataFrame) -> DataFrame:
-    """Outcome counts, interpolated latency and throughput of a run (AGG27)."""
-    span = captures.agg(((F.max("result_ms") - F.min("spawned_ms")) / 1000).alias("wall_s"))
-    sums = reconciled.agg(F.count("*").alias("requests"), *[F.count_if(F.col("outcome") == o).alias(o) for o in ("ok", "failed", "missing", "duplicate")], F.round(N.percentile_linear(F.col("latency_ms"), 0.5), 3).alias("p50_ms"), F.round(N.percentile_linear(F.col("latency_ms"), 0.95), 3).alias("p95_ms"))
-    return sums.join(F.broadcast(span)).withColumn("per_second", F.round(F.try_divide(F.col("ok"), F.col("wall_s")), 6))
+def failure_classes(captures: DataFrame) -> DataFrame:
+    """Failed results by the class they give (AGG27)."""
+    return captures.where("kind = 'result' and status = 'failed'").groupBy(F.coalesce("failure_class", F.lit("unknown")).alias("failure_class")).agg(F.count("*").alias("results"))
+
+
+def start_latency(captures: DataFrame) -> DataFrame:
+    """Method time of results from cold and from warm containers (AGG27)."""
+    timed = captures.where("kind = 'result' and total_method_ms is not null")
+    start = F.when(F.col("container_cold"), "cold").otherwise("warm")
+    return timed.groupBy(start.alias("start")).agg(F.count("*").alias("results"), F.round(N.percentile_linear(F.col("total_method_ms"), 0.5), 6).alias("p50_ms"), F.round(N.percentile_linear(F.col("total_method_ms"), 0.95), 6).alias("p95_ms"), F.max("total_method_ms").alias("max_ms"))
 
 
 def container_spans(events: DataFrame, key: str, at: str) -> DataFrame:
@@ -66,10 +94,20 @@ def manifest_distributions(pages: DataFrame) -> DataFrame:
     return pages.select("objectId", F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("pages"), F.count_distinct("objectId").alias("documents"))
 
 
+#: Characters of embedded text from which a page counts as having a native layer.
+LEAST_NATIVE_CHARS = 200
+
+
 def selective_decision(observations: DataFrame, least_covered: float = 0.6) -> DataFrame:
-    """Whether a reading may be skipped and why (FLT12): ``covered`` by embedded text, which holds
-    no numeral and nothing suspicious."""
-    why = F.when(F.col("covered") < least_covered, "uncovered").when(T.is_suspicious(F.col("native_text")), "suspicious").when(T.is_numeric(F.col("native_text")), "numeral").otherwise("skip")
+    """Whether a reading may be skipped and why not (FLT12), the first reason that holds.
+
+    ``covered``: share of its box under embedded text; ``native_text``: what touches the box,
+    whole lines; ``native_chars``: embedded text of the page; ``recovery_method``. The last two
+    may be absent. Fixed values: the reasons.
+    """
+    recovered = F.col("recovery_method").isNotNull() if "recovery_method" in observations.columns else F.lit(False)
+    bare = F.col("native_chars") < LEAST_NATIVE_CHARS if "native_chars" in observations.columns else F.lit(False)
+    why = F.when(recovered, "recovery-pass").when(bare, "no-native-layer").when(F.col("covered") < least_covered, "not-native-covered").when(T.is_numeric(F.col("native_text")), "native-has-digit").when(T.is_suspicious(F.col("native_text")), "native-suspicious").otherwise("skip")
     return observations.withColumn("decision", why)
 
 
@@ -86,8 +124,10 @@ def route_recognizer(score: Column, text: Column, least: float = 0.9) -> Column:
 
 
 def stratum(reasons: Column) -> Column:
-    """clean, conflict or escalated-other (FLT17), from an array of reason types."""
-    return F.when(F.size(reasons) == 0, "clean").when(F.exists(reasons, lambda r: r.startswith("critical-token")), "conflict").otherwise("escalated-other")
+    """clean, conflict or escalated-other (FLT17), from an array of ``struct(type, severity)``; advisory
+    reasons don't count."""
+    blocking = F.filter(reasons, lambda r: r["severity"] == "blocking")
+    return F.when(F.size(blocking) == 0, "clean").when(F.exists(blocking, lambda r: r["type"].isin("critical-token-conflict", "critical-token-omission")), "conflict").otherwise("escalated-other")
 
 
 def page_class(conflicts: Column, escalates: Column) -> Column:
@@ -136,7 +176,30 @@ def attempts_of_jobs(jobs: DataFrame, attempts: DataFrame) -> DataFrame:
     return jobs.select("job_id", "tenant", F.col("state").alias("job_state")).join(attempts, "job_id", "left")
 
 
-def corpus_labels(notes: Column) -> Column:
-    """Labels of a document from a prose note (FLT19). Labels and the words that give them."""
-    rules = (("table", "table|ledger|schedule"), ("chart", "chart|graph|figure"), ("scan", "scan|fax|image"), ("multilingual", "language|japanese|german|french|spanish"), ("form", "form|checkbox"))
-    return F.array_compact(F.array(*[F.when(F.lower(notes).rlike(words), label) for label, words in rules]))
+# Labels that a note's words give, as (label, expression).
+WORD_LABELS = (
+    ("dense-table", r"\btables?\b|\bfinancial statements?\b|\bfinancial data\b|\bforms?\b|\bfields?\b"),
+    ("chart", r"\bcharts?\b|\bgraphs?\b|\bfigures?\b|\bkpi\b|\bvisuali[sz]ations?\b"),
+    ("multi-column", r"\bmulti-column\b|\btwo-column\b|\bacademic paper\b|\bannual report\b|\bintegrated report\b"),
+    ("form", r"\bforms?\b|\bcheckbox(?:es)?\b|\bfields?\b"),
+    ("multilingual", r"\bbilingual\b|\bmultilingual\b|\bjapanese\b|\bpolish\b|\bindonesian\b"),
+)
+
+
+def corpus_labels(notes: Column, path: Column, page_count: Column, images: Column, image_only: Column, *, multilingual: Column | None = None, sibling: Column | None = None) -> Column:
+    """Labels of a document from its notes and counts (FLT19), in the vocabulary's order.
+
+    ``multilingual`` marks documents known to be so, ``sibling`` gives the label of a family
+    member or null. ``notes`` are expected in compatibility form.
+    """
+    text = F.lower(F.coalesce(notes, F.lit("")))
+    only, no = F.coalesce(image_only, F.lit(False)), F.lit(False)
+    by_word = {label: text.rlike(words) for label, words in WORD_LABELS}
+    by_word["multilingual"] = by_word["multilingual"] | F.coalesce(multilingual if multilingual is not None else no, no)
+    rules = [
+        ("native-text", ~only), ("image-only", only), ("mixed-raster-native", ~only & (F.coalesce(images, F.lit(0)) > 0)),
+        *[(label, by_word[label]) for label in ("dense-table", "chart", "multi-column", "form", "multilingual")],
+        ("slides", F.concat_ws(" ", F.lower(path), text).rlike("presentation|slide|deck")),
+        ("long-document", F.coalesce(page_count >= 100, no)), ("landscape", F.contains(text, F.lit("landscape"))), ("sparse-overlay", text.rlike("sparse overlay|near-image-only|image-dominant")),
+    ]
+    return F.array_compact(F.array(*[F.when(holds, label) for label, holds in rules], sibling if sibling is not None else F.lit(None).cast("string")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.operators import runs as R
+from folioscope.plans.relational import _JOBS, _PER_PAGE, _attempts, _diagnostics, _jobs
+from folioscope.sources import ledger as L
 
 
 def _t(spark, d, name):
@@ -12,11 +14,19 @@ def _t(spark, d, name):
 
 
 def _captures(spark, d):
-    return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.when(F.col("l_returnflag") == "R", "error").otherwise("result").alias("kind"), (F.col("l_linenumber") * 1000).cast("long").alias("spawned_ms"), (F.col("l_linenumber") * 1000 + F.col("l_quantity")).cast("long").alias("result_ms"))
+    """Line items as captured outputs of a request (the order): results that completed or failed, and exceptions."""
+    flag = F.col("l_returnflag")
+    return _t(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("request_id"), F.when(flag == "R", "exception").otherwise("result").alias("kind"), F.when(flag == "A", "completed").when(flag == "N", "failed").alias("status"),
+        F.when(flag == "R", F.when(F.col("l_linenumber") % 2 == 0, "InputRejected: too large").otherwise("lost container")).alias("error"), F.when(flag == "N", F.element_at(F.array(F.lit("render"), F.lit("ocr"), F.lit(None).cast("string")), (F.col("l_partkey") % 3 + 1).cast("int"))).alias("failure_class"),
+        F.col("l_quantity").cast("long").alias("pages_ok"), (F.col("l_linenumber") % 3).cast("long").alias("pages_failed"), F.when(F.col("l_suppkey") % 5 != 0, F.col("l_extendedprice")).alias("total_method_ms"), (F.col("l_suppkey") % 4 == 0).alias("container_cold"),
+        (F.col("l_linenumber") * 1000).cast("long").alias("spawned_ms"), (F.col("l_linenumber") * 1000 + F.col("l_quantity")).cast("long").alias("result_ms"),
+    )
 
 
 def _expected(spark, d):
-    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"))
+    """Every second order is in the manifest."""
+    return _t(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("request_id"))
 
 
 def _pages(spark, d):
@@ -25,12 +35,20 @@ def _pages(spark, d):
 
 
 def run_outcomes(spark, d):
-    return R.run_reconciliation(_expected(spark, d), _captures(spark, d)).groupBy("outcome").agg(F.count("*").alias("requests"), F.sum("tries").alias("tries"))
+    return R.run_reconciliation(_expected(spark, d), _captures(spark, d)).groupBy("state").agg(F.count("*").alias("requests"), F.sum("outputs").alias("outputs"), F.sum("exceptions").alias("exceptions"))
 
 
 def run_totals(spark, d):
     c = _captures(spark, d)
-    return R.run_totals(R.run_reconciliation(_expected(spark, d), c), c).select("requests", "ok", "failed", "missing", "duplicate")
+    return R.run_totals(c, R.run_reconciliation(_expected(spark, d), c))
+
+
+def failure_classes(spark, d):
+    return R.failure_classes(_captures(spark, d))
+
+
+def start_latency(spark, d):
+    return R.start_latency(_captures(spark, d))
 
 
 def baseline_summary(spark, d):
@@ -46,8 +64,17 @@ def container_spans(spark, d):
 
 
 def skip_shares(spark, d):
-    lines = _t(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("native_text"), (F.col("doc_id") % 10 / 10.0).alias("covered"))
-    return R.skip_shares(R.selective_decision(lines)).select("decision", "n", "share")
+    """Lines of documents as readings: some recovered, on bare pages, half covered, with numerals or odd characters."""
+    lines = _t(spark, d, "documents").select("doc_id", F.length("text").alias("native_chars"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    odd = F.when((F.col("doc_id") + F.col("n")) % 13 == 0, F.concat("line", F.lit("\ue000"))).when((F.col("doc_id") + F.col("n")) % 17 == 0, F.concat("line", F.lit("Ⅳ"))).otherwise(F.col("line"))
+    rows = lines.select("native_chars", odd.alias("native_text"), ((F.col("doc_id") + F.col("n")) % 10 / 10.0).alias("covered"), F.when(F.col("n") % 11 == 5, "zoom-retry-v1").alias("recovery_method"))
+    return R.skip_shares(R.selective_decision(rows)).select("decision", "n", "share", "char_share")
+
+
+def page_strata(spark, d):
+    """Pages by the kind of their blocking reasons."""
+    pages = _diagnostics(spark, d, True)
+    return pages.groupBy(R.stratum("reasons").alias("stratum")).agg(F.count("*").alias("pages"))
 
 
 def recognizer_routes(spark, d):
@@ -76,37 +103,54 @@ def capture_pairs(spark, d):
 
 
 def attempts_of_jobs(spark, d):
-    from folioscope.plans.relational import _attempts, _jobs
-
-    return R.attempts_of_jobs(_jobs(spark, d), _attempts(spark, d)).groupBy("job_state").agg(F.count("*").alias("rows"), F.count("attempt").alias("attempts"))
+    return R.attempts_of_jobs(_jobs(spark, d), _attempts(spark, d)).groupBy("job_state").agg(F.count("*").alias("rows"), F.count("attempt_id").alias("attempts"))
 
 
 def corpus_labels(spark, d):
-    return _t(spark, d, "conversations").select(F.explode(R.corpus_labels(F.col("text"))).alias("label")).groupBy("label").agg(F.count("*").alias("turns"))
+    """Labels from notes that are put together from the parts table."""
+    words = ("A table of fields", "bar charts and a graph", "two-column academic paper", "Polish annual report", "checkbox form", "sparse overlay, landscape", "near-image-only scan", "plain prose")
+    key = F.col("p_partkey")
+    note = F.concat_ws("; ", *[F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.floor(key / k), F.lit(8)) + 1).cast("int")) for k in (1, 8)])
+    path = F.when(key % 9 == 0, "files/Deck.pdf").otherwise("files/report.pdf")
+    labels = R.corpus_labels(note, path, key % 150, key % 4, key % 5 == 0, multilingual=key % 31 == 0, sibling=F.when(key % 23 == 0, "version-sibling"))
+    return _t(spark, d, "part").select(F.explode(labels).alias("label")).groupBy("label").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (run_outcomes, run_totals, baseline_summary, quantile_summary, container_spans, skip_shares, recognizer_routes, tier_report, verdict_composition, plan_parity, capture_pairs, attempts_of_jobs, corpus_labels)}
+QUERIES = {f.__name__: f for f in (run_outcomes, run_totals, failure_classes, start_latency, page_strata, baseline_summary, quantile_summary, container_spans, skip_shares, recognizer_routes, tier_report, verdict_composition, plan_parity, capture_pairs, attempts_of_jobs, corpus_labels)}
 
-_REC = """c AS (SELECT l_orderkey AS request_id, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS ok FROM lineitem),
-g AS (SELECT request_id, count(*) AS tries, sum(ok) AS results FROM c GROUP BY request_id),
-r AS (SELECT CASE WHEN tries IS NULL THEN 'missing' WHEN results = 0 THEN 'failed' WHEN results > 1 THEN 'duplicate' ELSE 'ok' END AS outcome, coalesce(tries, 0) AS tries FROM orders LEFT JOIN g ON g.request_id = o_orderkey)"""
+_REC = """c AS (SELECT l_orderkey AS request_id, l_returnflag AS f, l_linenumber, CAST(l_quantity AS BIGINT) AS pages_ok, l_linenumber % 3 AS pages_failed, l_linenumber * 1000 AS spawned, l_linenumber * 1000 + CAST(l_quantity AS BIGINT) AS done, l_partkey, l_suppkey, l_extendedprice FROM lineitem),
+e AS (SELECT o_orderkey AS request_id FROM orders WHERE o_orderkey % 2 = 0),
+g AS (SELECT request_id, count(*) AS outputs, count(*) FILTER (WHERE f = 'R') AS exceptions FROM c GROUP BY request_id),
+r AS (SELECT CASE WHEN g.request_id IS NULL THEN 'missing' WHEN e.request_id IS NULL THEN 'unexpected' WHEN outputs > 1 THEN 'duplicate' ELSE 'ok' END AS state, coalesce(outputs, 0) AS outputs, coalesce(exceptions, 0) AS exceptions FROM e FULL JOIN g ON e.request_id = g.request_id)"""
 
 SQL = {
-    "run_outcomes": f"WITH {_REC} SELECT outcome, count(*) AS requests, CAST(sum(tries) AS BIGINT) AS tries FROM r GROUP BY outcome",
-    "run_totals": f"WITH {_REC} SELECT count(*) AS requests, count(*) FILTER (WHERE outcome = 'ok') AS ok, count(*) FILTER (WHERE outcome = 'failed') AS failed, count(*) FILTER (WHERE outcome = 'missing') AS missing, count(*) FILTER (WHERE outcome = 'duplicate') AS duplicate FROM r",
+    "run_outcomes": f"WITH {_REC} SELECT state, count(*) AS requests, CAST(sum(outputs) AS BIGINT) AS outputs, CAST(sum(exceptions) AS BIGINT) AS exceptions FROM r GROUP BY state",
+    "run_totals": f"""WITH {_REC} SELECT count(*) AS captured, count(*) FILTER (WHERE f = 'A') AS completed, count(*) FILTER (WHERE f = 'N') AS failed, count(*) FILTER (WHERE f = 'R' AND l_linenumber % 2 = 0) AS rejected, count(*) FILTER (WHERE f = 'R' AND l_linenumber % 2 = 1) AS other_exceptions,
+CAST(sum(pages_ok) FILTER (WHERE f <> 'R') AS BIGINT) AS pages_ok, quantile_cont((done - spawned)::DOUBLE, 0.5) AS p50_ms, quantile_cont((done - spawned)::DOUBLE, 0.95) AS p95_ms, max(done) - min(spawned) AS window_ms,
+(SELECT count(*) FROM r WHERE state = 'missing') AS missing, (SELECT count(*) FROM r WHERE state = 'unexpected') AS unexpected, (SELECT count(*) FROM r WHERE outputs > 1) AS duplicates,
+round(sum(pages_ok + pages_failed) FILTER (WHERE f <> 'R') / ((max(done) - min(spawned)) / 1000), 6) AS pages_per_second FROM c""",
+    "failure_classes": f"WITH {_REC} SELECT CASE l_partkey % 3 WHEN 0 THEN 'render' WHEN 1 THEN 'ocr' ELSE 'unknown' END AS failure_class, count(*) AS results FROM c WHERE f = 'N' GROUP BY 1",
+    "start_latency": f"WITH {_REC} SELECT CASE WHEN l_suppkey % 4 = 0 THEN 'cold' ELSE 'warm' END AS start, count(*) AS results, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50_ms, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95_ms, max(l_extendedprice) AS max_ms FROM c WHERE f <> 'R' AND l_suppkey % 5 <> 0 GROUP BY 1",
+    "page_strata": f"WITH {L.MIXED_SQL}, {_PER_PAGE} SELECT CASE WHEN conflict_count > 0 OR omission_count > 0 THEN 'conflict' WHEN starved THEN 'escalated-other' ELSE 'clean' END AS stratum, count(*) AS pages FROM pe GROUP BY 1",
     "baseline_summary": """WITH p AS (SELECT l_suppkey AS backend, l_returnflag <> 'R' AS ok, l_extendedprice AS ms, CAST(l_quantity AS BIGINT) AS q, CAST(l_quantity AS BIGINT) // 2 AS m, l_linenumber AS k FROM lineitem)
 SELECT backend, count(*) AS pages, count(*) FILTER (WHERE ok) AS succeeded, count(*) FILTER (WHERE NOT ok) AS failed, CAST(coalesce(sum(q) FILTER (WHERE ok), 0) AS BIGINT) AS native, CAST(coalesce(sum(m) FILTER (WHERE ok), 0) AS BIGINT) AS matches,
 CAST(coalesce(sum(k) FILTER (WHERE ok), 0) AS BIGINT) AS conflicts, quantile_disc(ms, 0.5) FILTER (WHERE ok) AS p50_ms, quantile_disc(ms, 0.95) FILTER (WHERE ok) AS p95_ms, round(sum(m) FILTER (WHERE ok) / sum(q) FILTER (WHERE ok), 6) AS coverage FROM p GROUP BY backend""",
     "quantile_summary": "SELECT event_type, count(value) AS n, quantile_disc(value, 0.05) AS p05, quantile_disc(value, 0.25) AS p25, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.75) AS p75, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type",
     "container_spans": "SELECT user_id, min(event_id) AS \"first\", max(event_id) AS \"last\", count(*) AS events FROM events GROUP BY user_id",
-    "skip_shares": r"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS t, doc_id % 10 / 10.0 AS covered FROM documents),
-s AS (SELECT CASE WHEN covered < 0.6 THEN 'uncovered' WHEN regexp_matches(t, '\p{N}') THEN 'numeral' ELSE 'skip' END AS decision FROM l)
-SELECT decision, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM s GROUP BY decision""",
+    "skip_shares": r"""WITH l AS (SELECT doc_id, length(text) AS chars, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
+k AS (SELECT chars, t, n, (doc_id + n) % 10 / 10.0 AS covered, (doc_id + n) % 13 = 0 AS odd, (doc_id + n) % 13 <> 0 AND (doc_id + n) % 17 = 0 AS roman FROM l),
+s AS (SELECT CASE WHEN n % 11 = 5 THEN 'recovery-pass' WHEN chars < 200 THEN 'no-native-layer' WHEN covered < 0.6 THEN 'not-native-covered' WHEN roman OR regexp_matches(t, '\p{N}') THEN 'native-has-digit' WHEN odd THEN 'native-suspicious' ELSE 'skip' END AS decision,
+             length(t) + CASE WHEN odd OR roman THEN 1 ELSE 0 END AS len FROM k)
+SELECT decision, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(sum(len) / sum(sum(len)) OVER (), 6) AS char_share FROM s GROUP BY decision""",
     "recognizer_routes": "SELECT CASE WHEN o_totalprice / 100000 < 0.9 OR regexp_matches(o_orderpriority, '[0-9]') THEN 'reference' ELSE 'fast' END AS route, count(*) AS readings FROM orders GROUP BY 1",
     "tier_report": "SELECT l_returnflag AS tier, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS tokens, CAST(sum(least(CAST(l_quantity AS BIGINT), 20)) AS BIGINT) AS matched, round(sum(least(CAST(l_quantity AS BIGINT), 20)) / sum(CAST(l_quantity AS BIGINT)), 6) AS recall FROM lineitem GROUP BY 1",
     "verdict_composition": "SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY o_orderpriority), 6) AS share FROM orders GROUP BY o_orderpriority, o_orderstatus",
     "plan_parity": """WITH a AS (SELECT l_orderkey AS p, list_sort(list(DISTINCT l_returnflag)) AS r FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1), b AS (SELECT l_orderkey AS p, list_sort(list(DISTINCT l_returnflag)) AS r FROM lineitem WHERE l_linenumber >= 2 GROUP BY 1)
 SELECT CASE WHEN a.p IS NULL THEN 'only_right' WHEN b.p IS NULL THEN 'only_left' WHEN a.r = b.r THEN 'same' ELSE 'different' END AS state, count(*) AS pages FROM a FULL JOIN b ON a.p = b.p GROUP BY 1""",
-    "attempts_of_jobs": "SELECT CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'queued' ELSE 'failed' END AS job_state, count(*) AS rows, count(l_orderkey) AS attempts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
-    "corpus_labels": "SELECT label, count(*) AS turns FROM (SELECT unnest([CASE WHEN regexp_matches(lower(text), 'table|ledger|schedule') THEN 'table' END, CASE WHEN regexp_matches(lower(text), 'chart|graph|figure') THEN 'chart' END, CASE WHEN regexp_matches(lower(text), 'scan|fax|image') THEN 'scan' END, CASE WHEN regexp_matches(lower(text), 'language|japanese|german|french|spanish') THEN 'multilingual' END, CASE WHEN regexp_matches(lower(text), 'form|checkbox') THEN 'form' END]) AS label FROM conversations) WHERE label IS NOT NULL GROUP BY label",
+    "attempts_of_jobs": f"WITH {_JOBS} SELECT j.state AS job_state, count(*) AS rows, count(a.attempt_id) AS attempts FROM jobs j LEFT JOIN attempts a ON a.job_id = j.job_id GROUP BY 1",
+    "corpus_labels": """WITH p AS (SELECT p_partkey AS k, p_partkey % 8 AS a, (p_partkey // 8) % 8 AS b FROM part),
+l AS (SELECT unnest([CASE WHEN k % 5 <> 0 THEN 'native-text' END, CASE WHEN k % 5 = 0 THEN 'image-only' END, CASE WHEN k % 5 <> 0 AND k % 4 > 0 THEN 'mixed-raster-native' END, CASE WHEN a IN (0, 4) OR b IN (0, 4) THEN 'dense-table' END, CASE WHEN a = 1 OR b = 1 THEN 'chart' END,
+CASE WHEN a IN (2, 3) OR b IN (2, 3) THEN 'multi-column' END, CASE WHEN a IN (0, 4) OR b IN (0, 4) THEN 'form' END, CASE WHEN a = 3 OR b = 3 OR k % 31 = 0 THEN 'multilingual' END, CASE WHEN k % 9 = 0 THEN 'slides' END, CASE WHEN k % 150 >= 100 THEN 'long-document' END,
+CASE WHEN a = 5 OR b = 5 THEN 'landscape' END, CASE WHEN a IN (5, 6) OR b IN (5, 6) THEN 'sparse-overlay' END, CASE WHEN k % 23 = 0 THEN 'version-sibling' END]) AS label FROM p)
+SELECT label, count(*) AS documents FROM l WHERE label IS NOT NULL GROUP BY label""",
 }

@@ -36,6 +36,12 @@ def run_to_end(stream: DataFrame, mode: str, checkpoint: str | None = None) -> D
     return spark.table(table)
 
 
+def stage_summary(samples: DataFrame, stage: str, value: str) -> DataFrame:
+    """Count, p50, p95, maximum, mean and interpolated p90 of each stage (AGG14, NUM2, NUM4), as a batch."""
+    at = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
+    return samples.groupBy(F.col(stage).alias("stage")).agg(F.count("*").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("max"), F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, 0.9), 6).alias("p90_linear"))
+
+
 def stage_totals(samples: DataFrame, stage: str, value: str) -> DataFrame:
     """Count, mean and maximum of each stage so far (AGG14): the state is one row a stage."""
     return samples.groupBy(stage).agg(F.count("*").alias("n"), F.max(value).alias("max"), F.round(F.avg(value), 6).alias("mean"))

@@ -20,7 +20,6 @@ from folioscope.operators import glyphs as Gl
 from folioscope.operators import grouping as Gr
 from folioscope.operators import ink as Ink
 from folioscope.operators import intervals as I
-from folioscope.operators import jobs as J
 from folioscope.operators import project as P
 from folioscope.operators import validate as V
 from folioscope.streaming import stateful as S
@@ -153,8 +152,13 @@ def test_relations(spark):
 
 def test_fragments(spark):
     rows = [("27", (0, 0, 10, 10)), (",", (11, 0, 12, 10)), ("148,453", (13, 0, 50, 10)), ("147", (0, 30, 20, 40)), (",366,013", (21, 30, 60, 40)), ("word", (61, 30, 80, 40))]
-    got = [r.text for r in sorted(Gr.coalesce_fragments(natives(spark, rows)).collect(), key=lambda r: r.nth)]
+    merged = Gr.coalesce_fragments(natives(spark, rows))
+    got = [r.text for r in sorted(merged.collect(), key=lambda r: r.nth)]
     assert got == ["27,148,453", "147,366,013", "word"]
+    assert sorted(r.token for r in E.token_counts(merged, ["page_id"]).collect()) == ["147366013", "27148453"]
+    # a sign and a currency leave the value open; a wide gap, a step down or a closed end do not join
+    more = [("$", (0, 0, 5, 10)), ("5", (6, 0, 10, 10)), ("(", (30, 0, 33, 10)), ("7", (34, 0, 38, 10)), (")", (39, 0, 41, 10)), ("1", (60, 0, 64, 10)), ("2", (65, 0, 69, 10)), ("-", (90, 0, 92, 10)), ("3", (98, 0, 99, 10)), ("4,", (120, 0, 125, 10)), ("5", (126, 6, 130, 16))]
+    assert [r.text for r in sorted(Gr.coalesce_fragments(natives(spark, more)).collect(), key=lambda r: r.nth)] == ["$5", "(7)", "1", "2", "-", "3", "4,", "5"]
 
 
 def test_corroboration_consumes(spark):
@@ -247,15 +251,106 @@ def test_validation_catches_tampering(spark):
 
 
 def test_enrichment(spark):
-    conflicts = spark.createDataFrame([(1, "c1"), (1, "c2"), (1, "c3")], "page_id long, conflict_id string")
-    answers = spark.createDataFrame([(1, '[{"index":0,"verdict":"native"},{"index":1,"verdict":"ocr"},{"index":1,"verdict":"native"},{"index":9,"verdict":"ocr"}]')], "page_id long, answers string")
-    got = {r.conflict_id: (r.verdict, r.unanswered) for r in En.parse_rulings(answers, conflicts).collect()}
-    assert got == {"c1": ("native", False), "c2": ("unsure", True), "c3": ("unsure", True)}
-    payload = spark.createDataFrame([(1, '{"tokens":[{"text":" a ","box":[0,0,10,10]},{"text":""},{"text":"b","box":[5,5,1,1]},{"text":"c"}]}')], "page_id long, payload string")
+    conflicts = spark.createDataFrame([(1, f"c{i}") for i in range(6)], "page_id long, conflict_id string")
+    answers = '```json\n[{"index":0,"verdict":"native"},{"index":1,"verdict":"ocr"},{"index":1,"verdict":"native"},{"index":9,"verdict":"ocr"},{"index":2,"verdict":"both-wrong","inkText":" 42 "},{"index":3,"verdict":"neither"},{"index":4,"verdict":"native"},{"index":4,"verdict":"odd"},{"index":0.5,"verdict":"ocr"}]\n```'
+    got = {r.conflict_id: (r.verdict, r.unanswered, r.ink_text) for r in En.parse_rulings(spark.createDataFrame([(1, answers)], "page_id long, answers string"), conflicts).collect()}
+    # repeated answers, unknown verdicts and omissions never pick a side
+    assert got == {"c0": ("native", False, None), "c1": ("unsure", True, None), "c2": ("both-wrong", False, "42"), "c3": ("unsure", True, None), "c4": ("unsure", True, None), "c5": ("unsure", True, None)}
+    payload = spark.createDataFrame([(1, '{"tokens":[{"text":" a ","box_2d":[0,0,10,10]},{"text":""},{"text":"b","box_2d":[5,5,1]},{"text":"c","box":[1,2,3,4]}]}')], "page_id long, payload string")
     tokens = sorted(En.parse_tokens(payload).collect(), key=lambda r: r.ord)
     assert [(t.text, t.box) for t in tokens] == [("a", [0.0, 0.0, 10.0, 10.0]), ("b", None), ("c", None)]
     plan = spark.createDataFrame([(1, p, n) for p, n in ((1, 10), (2, 10), (3, 10), (4, 30), (5, 1))], "job_id long, page_id long, entries int")
     assert [r.chunk for r in sorted(En.chunk_requests(plan).collect(), key=lambda r: r.page_id)] == [0, 0, 1, 2, 3]
+    kind = "page_id long, reasons array<struct<type:string,severity:string>>"
+    pages = spark.createDataFrame([(1, [("uncorroborated-ocr", "blocking"), ("unread-ink-region", "blocking")]), (2, [("unread-ink-region", "blocking")]), (3, [("unread-ink-region", "blocking"), ("critical-token-omission", "blocking")]), (4, [("low-ocr-confidence", "advisory")])], kind)
+    crops = spark.createDataFrame([(1,), (2,)], "page_id long")
+    asked = {r.page_id: tuple(r)[1:] for r in En.request_plan(pages, spark.createDataFrame([(3,)], "page_id long"), crops).collect()}
+    # a whole page holds its regions, so crops are never asked for beside it
+    assert asked == {1: (False, True, False, False), 2: (False, False, True, False), 3: (True, False, False, True)}
+
+
+def test_conflict_boxes_fail_closed(spark):
+    ocr = reads(spark, [("x", (10, 20, 110, 40))])
+    geometry = spark.createDataFrame([(1, 200.0, 400.0)], "page_id long, width double, height double")
+    c = lambda i: spark.createDataFrame([(1, i)], "page_id long, ocr_id string")
+    assert En.conflict_boxes(c("o0"), ocr, geometry).first().normalized_box == [50, 50, 100, 550]
+    with pytest.raises(Exception, match="unknown reading"):
+        En.conflict_boxes(c("o7"), ocr, geometry).collect()
+
+
+def test_evaluation_tokens(spark):
+    rows = [("Net (1,234) and $5.5% or −42 up 3PPT", ["-1234", "$5.5%", "-42", "3ppt"]), ("€(12) 7x 1.2.3", ["€(12)", "7x", "1.2.3"]), ("(5", ["(5"]), (None, []), ("12\u212a", ["12k"]), ("$ 5", ["5"])]
+    df = spark.createDataFrame(rows, "t string, want array<string>").select("want", T.evaluation_tokens(F.col("t")).alias("got"))
+    assert [(r.want, r.got) for r in df.collect() if r.want != r.got] == []
+
+
+def test_detached_currency(spark):
+    """A detached sign is forgiven, a contradicting one never; percent and sign are never relaxed."""
+    cases = [("$100", "100", 1), ("100", "€100", 1), ("$100", "€100", 0), ("28.9%", "28.9", 0), ("-150,672", "150,672", 0), ("$100", "$100", 1), ("$684,663", "684,663", 1)]
+    for gold, found, want in cases:
+        g, f = reads(spark, [(gold, (0, 0, 1, 1))]), reads(spark, [(found, (0, 0, 1, 1))])
+        assert C.consume_matches(g, f, tolerant=True).first().matched == want, (gold, found)
+    assert C.consume_matches(reads(spark, [("$100", (0, 0, 1, 1))]), reads(spark, [("100", (0, 0, 1, 1))])).first().matched == 0
+
+
+def test_gold_recall_strict_before_tolerant(spark):
+    gold = reads(spark, [("$5", (0, 0, 1, 1)), ("5", (0, 0, 1, 1)), ("9", (0, 0, 1, 1))]).withColumn("tier", F.when(F.col("ord") < 2, "human").otherwise("silver"))
+    got = {r.tier: tuple(r)[2:] for r in C.gold_recall(gold, reads(spark, [("5", (0, 0, 1, 1))]), reads(spark, [("$5 9 5", (0, 0, 1, 1))])).collect()}
+    # tokens, strict native, ocr, union, then with detached signs forgiven
+    assert got == {"human": (2, 1, 2, 2, 1, 2, 2), "silver": (1, 0, 1, 1, 0, 1, 1)}
+
+
+def test_located_corroboration(spark):
+    native = natives(spark, [("5 9", (0, 0, 50, 10)), ("5", (100, 0, 150, 10))])
+    claims = reads(spark, [("5", (90, 0, 120, 10)), ("5", (200, 0, 210, 10)), ("5 9", (0, 0, 20, 10)), ("9", (0, 0, 20, 10)), ("word", (0, 0, 20, 10))])
+    assert {r.id: r.corroborated for r in C.located_corroboration(claims, native).collect()} == {"o0": True, "o1": False, "o2": True, "o3": False, "o4": False}
+
+
+def test_cross_family_bounds(spark):
+    ocr = reads(spark, [("7 8", (0, 0, 1, 1)), ("7", (0, 0, 1, 1)), ("Total", (0, 0, 1, 1)), ("3", (0, 0, 1, 1))])
+    second = reads(spark, [("7 8", (0, 0, 1, 1)), ("total 7", (0, 0, 1, 1))])
+    r = C.cross_family_bounds(ocr, second, reads(spark, [("7", (0, 0, 1, 1))]), spark.createDataFrame([(1,)], "page_id long")).first()
+    assert (r.pages, r.observations, r.agreed, r.confirmed, r.plain, r.lower_bound, r.upper_bound) == (1, 2, 3, 1, 1, 0.3333, 1.0)
+    p = C.pool_recall(reads(spark, [("7", (0, 0, 1, 1)), ("11", (0, 0, 1, 1))]), ocr).first()
+    assert (p.tokens, p.found) == (2, 1)
+
+
+def test_page_geometry(spark):
+    one = spark.range(1)
+    m = F.array(*map(F.lit, (2.0, 0.0, 0.0, -2.0, 0.0, 200.0)))
+    none = F.lit(None).cast("array<double>")
+    bounds = F.array(*map(F.lit, (0.0, 0.0, 50.0, 100.0)))
+    r = one.select(
+        G.pixels_per_point(m, F.lit(100.0), bounds, F.lit(90)).alias("by_matrix"), G.pixels_per_point(none, F.lit(100.0), bounds, F.lit(180)).alias("upright"),
+        G.pixels_per_point(none, F.lit(100.0), bounds, F.lit(270)).alias("turned"), G.pixels_per_point(none, F.lit(100.0), none, F.lit(0)).alias("bare"),
+        G.fits_page(m, bounds, F.lit(100.0), F.lit(201.0)).alias("fits"), G.fits_page(m, bounds, F.lit(120.0), F.lit(200.0)).alias("off"),
+        F.array(*G.crop_window((F.lit(1.0), F.lit(160.0), F.lit(81.0), F.lit(240.0)), F.lit(1.6), 144.0, 8.0)).alias("crop"),
+        F.array(*G.to_normalized((F.lit(-10.0), F.lit(0.0), F.lit(110.0), F.lit(200.0)), F.lit(100.0), F.lit(200.0))).alias("norm"),
+        F.array(*G.reading_key((F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(37.0)))).alias("key"), T.xml_escape(F.lit("a'b<\x01")).alias("xml"),
+    ).first()
+    assert (r.by_matrix, r.upright, r.turned, r.bare, r.fits, r.off) == (2.0, 2.0, 1.0, 1.6, True, False)
+    assert r.crop == [0, 184, 132, 132] and r.norm == [0, -100, 1000, 1100] and r.key == [2.0, 5.0] and r.xml == "a'b&lt;\\x01"
+
+
+def test_trusted_text(spark):
+    n = natives(spark, [("Revenue $1,200", (0, 0, 90, 10)), ("Cost 30", (0, 20, 90, 30)), ("Tax 7", (0, 40, 90, 50))])
+    o = reads(spark, [("Revenue $1,300", (0, 0, 90, 10)), ("Cost 31", (0, 20, 90, 30)), ("tax 7", (0, 40, 90, 50)), ("faint", (0, 60, 90, 70)), ("  ", (0, 80, 9, 90))]).withColumn("confidence", F.when(F.col("ord") == 3, 0.2).otherwise(0.9))
+    v = spark.createDataFrame([(1, "o0", "critical-token-disagreement", ["n0"]), (1, "o1", "critical-token-disagreement", ["n1"])], "page_id long, ocr_id string, verdict string, native_ids array<string>")
+    rulings = spark.createDataFrame([(1, "o0", "ocr", "Revenue $1,300")], "page_id long, ocr_id string, verdict string, ink_text string")
+    proposals = spark.createDataFrame([(1, 0, "p0", "Note 5")], "page_id long, ord int, id string, text string")
+    from folioscope.operators import retrieval as Rt
+
+    texts = lambda df: sorted((r.source, r.text.strip()) for r in df.collect())
+    # nobody ruled on the second dispute, so both of its sides go; "tax 7" is embedded, "faint" under the floor
+    assert texts(Rt.trusted_text(n, o, v, rulings)) == [("native", "Tax 7"), ("ocr", ""), ("ocr", "Revenue $1,300")]
+    assert texts(Rt.trusted_text(n, o, v, rulings, proposals)) == [("ink", "Revenue $1,300"), ("native", "Tax 7"), ("ocr", ""), ("ocr", "Revenue $1,300"), ("proposal", "Note 5")]
+    assert texts(Rt.deduplicated_text(n, o))[3:] == [("ocr", ""), ("ocr", "Cost 31"), ("ocr", "Revenue $1,300"), ("ocr", "faint")]
+
+
+def test_answers(spark):
+    rows = [("costs $684,663 in all", "$684,663", True), ("1,684,663", "684,663", False), ("€100", "$100", False), ("100", "$100", True), ("100.5", "100", False), ("x中100中", "100", True), ("A100", "100", False), ("any", "$", True)]
+    got = [spark.createDataFrame([(t,)], "t string").select(T.holds_answer(F.col("t"), a).alias("x")).first().x for t, a, _ in rows]
+    assert got == [w for *_, w in rows]
 
 
 def test_intervals(spark):
@@ -268,12 +363,7 @@ def test_intervals(spark):
     assert {r.child_id: r.parent_id for r in I.smallest_container(children, parents, ["k"], width=8).collect()} == {1: 11, 2: 10}
 
 
-def test_admission_and_sampling(spark):
-    jobs = spark.createDataFrame([(1, "t", "k1", "queued", 10)], "job_id long, tenant string, idempotency_key string, state string, pages long")
-    req = spark.createDataFrame([("t", "k1", 0, 5), ("t", "k2", 1, 40), ("t", "k3", 2, 70), ("t", "k4", 3, 1)], "tenant string, idempotency_key string, arrival long, pages long")
-    credits = spark.createDataFrame([("t", 100)], "tenant string, available long")
-    got = {r.idempotency_key: r.verdict for r in J.admit(req, jobs, credits).collect()}
-    assert got == {"k1": "replayed", "k2": "admitted", "k3": "no_credits", "k4": "tenant_limit"}
+def test_sampling(spark):
     df = spark.createDataFrame([(i, "a" if i < 70 else "b") for i in range(100)], "id long, g string")
     quotas = E.largest_remainder(df.groupBy("g").agg(F.count("*").alias("size")), 10)
     assert {r.g: r.quota for r in quotas.collect()} == {"a": 7, "b": 3}
@@ -291,3 +381,13 @@ def test_stale_and_resume(spark):
 def test_nfkc(spark):
     got = spark.createDataFrame([("ﬁ½ ",), (None,)], "t string").select(T.nfkc(F.col("t")).alias("n")).collect()
     assert [r.n for r in got] == [unicodedata.normalize("NFKC", "ﬁ½ "), None]
+
+
+def test_fold_over_a_union_of_partitioned_sides(spark):
+    """Both sides are already partitioned by page; their rows must still meet."""
+    from folioscope.operators.pages import fold_pages
+
+    pages = spark.range(40).select(F.col("id").alias("page_id"))
+    side = lambda n: spark.range(400).select((F.col("id") % 40).alias("page_id"), F.lit(n).alias("side")).join(pages.distinct(), "page_id", "left_semi")
+    got = fold_pages(side(0).unionByName(side(1)), ["page_id"], ["side"], lambda rows: [(rows[0]["page_id"], len(rows))], "page_id long, n int").collect()
+    assert sorted((r.page_id, r.n) for r in got) == [(i, 20) for i in range(40)]
