@@ -32,9 +32,10 @@ def corroboration(spark, d):
 def engaged_diagnostics(spark, d):
     """Page diagnostics with the second reading."""
     rows, native, ocr = _sides(spark, d)
-    v = A.associate(native, ocr, Gr.native_lines(native), fold=False)
+    v = A.associate(native, ocr, Gr.native_lines(native).persist(), fold=False, texts=False)
     counts = native.groupBy("page_id").agg(F.count("*").alias("native_count"))
-    return D.page_diagnostics(ocr, v, counts, engaged=C.engaged_by_second_reading(ocr, L.second_reading(rows), fold=False), policy=D.Policy(starved_count=3)).drop("reasons")
+    pages = D.page_diagnostics(ocr, v, counts, engaged=C.engaged_by_second_reading(ocr, L.second_reading(rows), fold=False), policy=D.Policy(starved_count=3))
+    return pages.select("page_id", "native_count", "ocr_count", "unmatched_count", "conflict_count", F.exists("reasons", lambda r: r["type"] == "uncorroborated-ocr").alias("starved"), "escalates")
 
 
 def proposal_status(spark, d):
@@ -48,20 +49,29 @@ def paired_report(spark, d):
     rows, native, ocr = _sides(spark, d)
     classes = C.paired_classes(L.second_reading(rows), native, ocr, fold=False)
     cells = classes.groupBy().agg(*[F.count_if(F.col("class") == c).alias(c) for c in ("both", "a_only", "b_only", "neither")])
-    return E.equivalence_report(cells, [])
+    return E.equivalence_report(cells, []).select("both", "a_only", "b_only", "neither", F.round("agreement", 6).alias("agreement"))
+
+
+def _swapped(spark, d):
+    """Lines of documents; in every third the embedded font shows e for o and o for e."""
+    rows = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("ord", "line")).where("trim(line) <> '' and length(line) <= 400")
+    box = [F.lit(0.0).alias("x0"), (F.col("ord") * 20.0).alias("y0"), (F.length("line") * 8.0).alias("x1"), (F.col("ord") * 20.0 + 16).alias("y1")]
+    swap = F.when(F.col("page_id") % 3 == 0, F.translate("line", "eo", "oe")).otherwise(F.col("line"))
+    ids = F.concat_ws(":", F.lit("l"), "page_id", "ord").alias("id")
+    return rows.select("page_id", "ord", ids, swap.alias("text"), *box, F.lit("F1").alias("font")), rows.select("page_id", "ord", ids, F.col("line").alias("text"), *box, F.lit(0.9).alias("confidence"), F.lit(None).cast("string").alias("recovery_method"))
 
 
 def glyph_audit(spark, d):
     """Letters that the reading shows as others, by font."""
-    _, native, ocr = _sides(spark, d)
+    native, ocr = _swapped(spark, d)
     return Gl.font_audit(Gl.letter_pairs(native, ocr)).select("page_id", "font", "letter_count", F.round("share", 6).alias("share"), "withhold")
 
 
 def page_markdown(spark, d):
     """Markdown of every page."""
     _, native, ocr = _sides(spark, d)
-    lines = Gr.native_lines(native)
-    return P.page_markdown(lines, Gr.spatial_rows(ocr), A.associate(native, ocr, lines, fold=False))
+    lines = Gr.native_lines(native).persist()
+    return P.page_markdown(lines, Gr.spatial_rows(ocr), A.verdicts(native, ocr, lines, fold=False))
 
 
 def page_digest(spark, d):
@@ -82,13 +92,19 @@ def observation_ids(spark, d):
     _, native, _ = _sides(spark, d)
     nth = Ids.occurrence(native, ["page_id", "text", "x0", "y0", "x1", "y1"], ["ord"])
     named = Ids.with_observation_ids(nth, F.sha2(F.col("page_id").cast("string"), 256), F.col("page_id"), "native", box())
-    return named.select("page_id", "ord", "observation_id")
+    return named.select("page_id", F.col("ord").cast("long").alias("ord"), "observation_id")
 
 
 def relations(spark, d):
-    """Year and value relations in the reading."""
-    _, _, ocr = _sides(spark, d)
-    return Gr.year_value_relations(ocr)
+    """Year and value relations: an order's lines as the bars of a chart over a row of years."""
+    rows = L.lines(spark, d)
+    at = (F.col("ord") * 100).cast("double")
+    sure = ((F.col("part") % 100) / 100.0).alias("confidence")
+    years = rows.select("page_id", (F.col("ord") * 2).alias("ord"), F.concat(F.lit("y"), F.col("ord").cast("string")).alias("id"), F.concat(F.lit("FY"), (F.col("ord") + 2000).cast("string")).alias("text"), at.alias("x0"), F.lit(200.0).alias("y0"), (at + 40).alias("x1"), F.lit(216.0).alias("y1"), sure)
+    shift = at + (F.col("part") % 30)
+    values = rows.where("part % 11 <> 0").select("page_id", (F.col("ord") * 2 + 1).alias("ord"), F.concat(F.lit("v"), F.col("ord").cast("string")).alias("id"), (F.col("cents") % 900 + 100).cast("string").alias("text"), shift.alias("x0"), F.lit(150.0).alias("y0"), (shift + 40).alias("x1"), F.lit(166.0).alias("y1"), sure)
+    found = Gr.year_value_relations(years.unionByName(values))
+    return found.select("page_id", F.col("nth").cast("long").alias("nth"), "category", "value", F.round("confidence", 6).alias("confidence"), F.round("ambiguity", 6).alias("ambiguity"), F.size("source_ids").cast("long").alias("sources"))
 
 
 def prose_lines(spark, d):
@@ -97,19 +113,58 @@ def prose_lines(spark, d):
 
 
 def request_plan(spark, d):
-    """What each blocked page asks for."""
+    """What each blocked page asks for; every third page has a region of unread ink, every sixth one fit to be cropped."""
     _, native, ocr = _sides(spark, d)
-    v = A.associate(native, ocr, Gr.native_lines(native), fold=False)
-    pages = D.page_diagnostics(ocr, v, native.groupBy("page_id").agg(F.count("*").alias("native_count")))
-    return En.request_plan(pages, v.where("verdict <> 'match'"))
+    v = A.associate(native, ocr, Gr.native_lines(native).persist(), fold=False, texts=False)
+    counts = native.groupBy("page_id").agg(F.count("*").alias("native_count"))
+    residue = counts.where("page_id % 3 = 0").select("page_id", F.lit(True).alias("unread"))
+    pages = D.page_diagnostics(ocr, v, counts, residue=residue)
+    return En.request_plan(pages, v.where("verdict <> 'match'"), counts.where("page_id % 6 = 0").select("page_id"))
 
 
 def validation(spark, d):
-    """Rules that the derived tables break: none."""
+    """Rules that tampered tables break: confidences over 1, blank texts, boxes without area, a reading without a
+    page's diagnostics, forged counters."""
+    _, native, ocr = _sides(spark, d)
+    lines = Gr.native_lines(native).persist()
+    v = A.associate(native, ocr, lines, fold=False, texts=False)
+    pages = D.page_diagnostics(ocr, v, native.groupBy("page_id").agg(F.count("*").alias("native_count")))
+    bad_ocr = ocr.withColumns({"confidence": F.when(F.col("confidence") > 0.9, F.col("confidence") + 0.5).otherwise(F.col("confidence")), "text": F.when(F.col("confidence") == 0.07, "  ").otherwise(F.col("text"))})
+    bad_native = native.withColumn("x1", F.when(F.col("ord") == 5, F.col("x0")).otherwise(F.col("x1")))
+    forged = pages.withColumn("ocr_count", F.when(F.col("page_id") % 10 == 0, F.col("ocr_count") + 1).otherwise(F.col("ocr_count")))
+    return V.page_violations(bad_native, bad_ocr, v, forged).groupBy("path", "message").agg(F.count("*").alias("rows"))
+
+
+def valid_tables(spark, d):
+    """Rules that the derived tables break as they are: none, so one row with zero."""
     _, native, ocr = _sides(spark, d)
-    v = A.associate(native, ocr, Gr.native_lines(native), fold=False)
+    v = A.associate(native, ocr, Gr.native_lines(native).persist(), fold=False, texts=False)
     pages = D.page_diagnostics(ocr, v, native.groupBy("page_id").agg(F.count("*").alias("native_count")))
-    return V.page_violations(native, ocr, v, pages).where("path <> 'diagnostics.ocr_count'")
+    return V.page_violations(native, ocr, v, pages).agg(F.count("*").alias("violations"))
+
+
+def gold_tiers(spark, d):
+    """Recall of both witnesses by label tier, the second reading taken as gold."""
+    rows, native, ocr = _sides(spark, d)
+    gold = L.second_reading(rows).withColumn("tier", F.when(F.col("ord") % 2 == 0, "human").otherwise("silver"))
+    got = C.gold_recall(gold, native, ocr, fold=False)
+    names = [c for c in got.columns if c not in ("page_id", "tier")]
+    return got.groupBy("tier").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def located_claims(spark, d):
+    """Second readings that the embedded text under their own box vouches for."""
+    rows, native, _ = _sides(spark, d)
+    return C.located_corroboration(L.second_reading(rows), native, fold=False).groupBy("corroborated").agg(F.count("*").alias("proposals"))
+
+
+def conflict_boxes(spark, d):
+    """Disputes with the place of their reading in thousandths of the page."""
+    _, native, ocr = _sides(spark, d)
+    v = A.verdicts(native, ocr, Gr.native_lines(native), fold=False).where("verdict <> 'match'")
+    size = ocr.groupBy("page_id").agg(F.lit(320.0).alias("width"), F.lit(200.0).alias("height"))
+    b = En.conflict_boxes(v, ocr, size)
+    return b.select("page_id", F.col("ocr_ord").cast("long").alias("ocr_ord"), F.col("normalized_box")[0].alias("ymin"), F.col("normalized_box")[1].alias("xmin"), F.col("normalized_box")[2].alias("ymax"), F.col("normalized_box")[3].alias("xmax"))
 
 
 def stream_totals(spark, d):
@@ -127,9 +182,75 @@ def stream_percentiles(spark, d):
     return S.run_to_end(S.recent_percentiles(S.file_stream(spark, d, "events"), "event_type", "value"), "update")
 
 
-QUERIES = {f.__name__: f for f in (corroboration, engaged_diagnostics, proposal_status, paired_report, glyph_audit, page_markdown, page_digest, page_svg, observation_ids, relations, prose_lines, request_plan, validation, stream_totals, stream_first_writer, stream_percentiles)}
+QUERIES = {f.__name__: f for f in (corroboration, engaged_diagnostics, proposal_status, paired_report, glyph_audit, page_markdown, page_digest, page_svg, observation_ids, relations, prose_lines, request_plan, validation, valid_tables, gold_tiers, located_claims, conflict_boxes, stream_totals, stream_first_writer, stream_percentiles)}
+
+#: Claims use up a page's tokens in order, all of a claim's or none: a walk over the claims with what is left.
+#: Every text of the ledger has two tokens, the quantity and the amount; ``second`` are the second readings.
+_SECOND = "second AS (SELECT page_id, ord, qty, cents, concat('qty ', qty, ' total $', cents) AS text, [concat('q', qty), concat('$', cents)] AS tk FROM l WHERE supp % 3 = 0)"
+
+
+def _walk(name: str, claims: str, pool: str) -> str:
+    """Recursive tables: ``name`` gives page_id, ord and whether the pool vouched for the claim."""
+    take = lambda pool, t: f"(list_slice({pool}, 1, list_position({pool}, {t}) - 1) || list_slice({pool}, list_position({pool}, {t}) + 1, len({pool})))"
+    once = take("s.left_", "c.a")
+    return f"""{name}_c AS (SELECT page_id, ord, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS i, concat('q', qty) AS a, concat('$', cents) AS b FROM {claims}),
+{name}_p AS (SELECT page_id, flatten(list([concat('q', qty), concat('$', cents)])) AS pool FROM {pool} GROUP BY page_id),
+{name}_s AS (SELECT page_id, 0::BIGINT AS i, NULL::BIGINT AS ord, pool AS left_, NULL::BOOLEAN AS ok FROM {name}_p
+  UNION ALL SELECT c.page_id, c.i, c.ord, CASE WHEN list_contains(s.left_, c.a) AND list_contains({once}, c.b) THEN {take(once, 'c.b')} ELSE s.left_ END, list_contains(s.left_, c.a) AND list_contains({once}, c.b)
+  FROM {name}_s s JOIN {name}_c c ON c.page_id = s.page_id AND c.i = s.i + 1),
+{name} AS (SELECT c.page_id, c.ord, coalesce(s.ok, FALSE) AS ok FROM {name}_c c LEFT JOIN {name}_s s ON s.page_id = c.page_id AND s.i = c.i)"""
+
+
+_FIRST = "first_pass AS (SELECT * FROM ocr WHERE recovery_method IS NULL)"
+_BOTH = f"{_walk('inn', 'second', 'nat')}, {_walk('ino', 'second', 'ocr')}, cl AS (SELECT inn.ok AS a, ino.ok AS b FROM inn JOIN ino USING (page_id, ord))"
+_NUM = "regexp_replace(printf('%.4f', {0}), '\\.?0+$', '')"
+_BBOX = ", ',', ".join(f"printf('%g', {c})" for c in ("x0", "y0", "x1", "y1"))
+_MD = f"""cm AS (SELECT page_id, "row" AS i, concat('<!-- evidence page=', page_id, ' source_ids=n:', page_id, ':', ord, ' bbox=', {_BBOX}, ' confidence=unknown derived=false -->', chr(10), text) AS t FROM nat),
+um AS (SELECT o.page_id, o.ord AS i, concat('<!-- evidence page=', o.page_id, ' source_ids=o:', o.page_id, ':', o.ord, ' bbox=', {_BBOX}, ' confidence=', printf('%.4f', o.confidence::DOUBLE), ' derived=false -->', chr(10), o.text) AS t FROM ocr o JOIN verdicts v ON v.page_id = o.page_id AND v.ocr_ord = o.ord WHERE v.verdict IS DISTINCT FROM 'match'),
+ids AS (SELECT page_id FROM nat UNION SELECT page_id FROM um),
+md AS (SELECT page_id, concat('# Page ', page_id, coalesce(chr(10) || chr(10) || '## Visual text recovered by OCR' || chr(10) || chr(10) || (SELECT string_agg(t, chr(10) || chr(10) ORDER BY i) FROM um WHERE um.page_id = ids.page_id), ''),
+       coalesce(chr(10) || chr(10) || '## Native observations' || chr(10) || chr(10) || (SELECT string_agg(t, chr(10) || chr(10) ORDER BY i) FROM cm WHERE cm.page_id = ids.page_id), '')) AS markdown FROM ids)"""
 
 SQL = {
+    "corroboration": f"WITH RECURSIVE {L.SQL}, {_SECOND}, {_FIRST}, {_walk('eng', 'first_pass', 'second')} SELECT page_id, concat('o:', page_id, ':', ord) AS id FROM eng WHERE ok",
+    "engaged_diagnostics": f"""WITH RECURSIVE {L.SQL}, {_SECOND}, {_FIRST}, {_walk('eng', 'first_pass', 'second')},
+n AS (SELECT page_id, count(*) AS native_count FROM nat GROUP BY page_id),
+x AS (SELECT v.*, coalesce(eng.ok, FALSE) AS engaged FROM verdicts v LEFT JOIN eng ON eng.page_id = v.page_id AND eng.ord = v.ocr_ord),
+g AS (SELECT page_id, count(*) AS ocr_count, count(*) FILTER (WHERE verdict IS NULL) AS unmatched_count, count(*) FILTER (WHERE verdict = 'critical-token-disagreement') AS conflict_count, count(*) FILTER (WHERE confidence < 0.5) AS low, count(*) FILTER (WHERE verdict = 'critical-token-omission') AS om,
+  count(*) FILTER (WHERE recovery_method IS NULL AND confidence >= 0.5) AS sure, count(*) FILTER (WHERE recovery_method IS NULL AND confidence >= 0.5 AND verdict IS NULL AND NOT engaged) AS alone FROM x GROUP BY page_id),
+k AS (SELECT page_id, native_count, coalesce(ocr_count, 0) AS ocr_count, coalesce(unmatched_count, 0) AS unmatched_count, coalesce(conflict_count, 0) AS conflict_count, coalesce(low, 0) AS low, coalesce(om, 0) AS om, coalesce(sure, 0) >= 3 AND sure - alone < 0.5 * sure AS starved FROM n LEFT JOIN g USING (page_id))
+SELECT page_id, native_count, ocr_count, unmatched_count, conflict_count, starved, starved OR conflict_count > 0 OR low > 0 OR om > 0 AS escalates FROM k""",
+    "proposal_status": f"WITH RECURSIVE {L.PLAIN}, {_SECOND}, {_BOTH} SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'native' WHEN b THEN 'ocr' ELSE 'novel' END AS status, count(*) AS proposals FROM cl GROUP BY 1",
+    "paired_report": f"WITH RECURSIVE {L.PLAIN}, {_SECOND}, {_BOTH} SELECT count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS a_only, count(*) FILTER (WHERE b AND NOT a) AS b_only, count(*) FILTER (WHERE NOT a AND NOT b) AS neither, round(count(*) FILTER (WHERE a = b) / count(*), 6) AS agreement FROM cl",
+    "gold_tiers": f"""WITH {L.PLAIN}, {_SECOND}, g AS (SELECT page_id, CASE WHEN ord % 2 = 0 THEN 'human' ELSE 'silver' END AS tier, unnest(tk) AS t, ord FROM second),
+gi AS (SELECT *, row_number() OVER (PARTITION BY page_id, t ORDER BY tier, ord) AS n FROM g), nt AS (SELECT page_id, t, count(*) AS n FROM (SELECT page_id, unnest([concat('q', qty), concat('$', cents)]) AS t FROM nat) GROUP BY ALL), ot AS (SELECT page_id, t, count(*) AS n FROM (SELECT page_id, unnest([concat('q', qty), concat('$', cents)]) AS t FROM ocr) GROUP BY ALL),
+h AS (SELECT tier, coalesce(gi.n <= nt.n, FALSE) AS a, coalesce(gi.n <= ot.n, FALSE) AS b FROM gi LEFT JOIN nt ON nt.page_id = gi.page_id AND nt.t = gi.t LEFT JOIN ot ON ot.page_id = gi.page_id AND ot.t = gi.t)
+SELECT tier, count(*) AS tokens, count(*) FILTER (WHERE a) AS strict_native, count(*) FILTER (WHERE b) AS strict_ocr, count(*) FILTER (WHERE a OR b) AS strict_union, count(*) FILTER (WHERE a) AS native, count(*) FILTER (WHERE b) AS ocr, count(*) FILTER (WHERE a OR b) AS "union" FROM h GROUP BY tier""",
+    "located_claims": f"WITH {L.PLAIN}, {_SECOND} SELECT n.ord IS NOT NULL AS corroborated, count(*) AS proposals FROM second s LEFT JOIN nat n ON n.page_id = s.page_id AND n.ord = s.ord GROUP BY 1",
+    "conflict_boxes": f"WITH {L.SQL} SELECT v.page_id, v.ocr_ord, CAST(floor(y0 / 200 * 1000 + 0.5) AS BIGINT) AS ymin, CAST(floor(x0 / 320 * 1000 + 0.5) AS BIGINT) AS xmin, CAST(floor(y1 / 200 * 1000 + 0.5) AS BIGINT) AS ymax, CAST(floor(x1 / 320 * 1000 + 0.5) AS BIGINT) AS xmax FROM verdicts v JOIN ocr o ON o.page_id = v.page_id AND o.ord = v.ocr_ord WHERE v.verdict LIKE 'critical%'",
+    "glyph_audit": """WITH r AS (SELECT doc_id AS page_id, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT page_id, regexp_replace(line, '\\s', '', 'g') AS line FROM r WHERE trim(line) <> '' AND length(line) <= 400 AND page_id % 3 = 0),
+c AS (SELECT page_id, unnest(string_split(line, '')) AS ch FROM k), a AS (SELECT page_id, count(*) FILTER (WHERE regexp_matches(ch, '\\p{L}')) AS letter_count, count(*) FILTER (WHERE ch = 'e') AS e, count(*) FILTER (WHERE ch = 'o') AS o FROM c GROUP BY page_id),
+s AS (SELECT *, CASE WHEN e >= 2 THEN e ELSE 0 END + CASE WHEN o >= 2 THEN o ELSE 0 END AS bad FROM a)
+SELECT page_id, 'F1' AS font, letter_count, round(bad / letter_count, 6) AS share, bad / letter_count >= 0.1 AND letter_count >= 100 AS withhold FROM s WHERE bad > 0""",
+    "page_markdown": f"WITH {L.SQL}, {_MD} SELECT page_id, markdown FROM md",
+    "page_digest": f"WITH {L.SQL}, {_MD} SELECT page_id, sha256(concat('{{\"markdown\":', to_json(markdown), ',\"page_id\":', page_id, '}}')) AS digest FROM md",
+    "page_svg": f"""WITH {L.PLAIN}, e AS (SELECT page_id, ord, concat('<text x="', printf('%g', x0), '" y="', printf('%g', round(y1 - 0.18 * (y1 - y0), 2)), '" font-size="', printf('%g', round(0.72 * (y1 - y0), 2)), '">', text, '</text>') AS t FROM ocr)
+SELECT page_id, concat('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 320 200">', chr(10), string_agg(t, chr(10) ORDER BY ord), chr(10), '</svg>') AS svg FROM e GROUP BY page_id""",
+    "observation_ids": f"""WITH {L.PLAIN}, k AS (SELECT page_id, ord, sha256(page_id::VARCHAR) AS doc, concat(sha256(page_id::VARCHAR), '|', page_id, '|native|', text, '|', {_BBOX}, '|0') AS key FROM nat)
+SELECT page_id, ord, concat('ps:', doc[1:12], ':p', page_id, ':n:', lower(to_base(list_reduce([2166136261::BIGINT] || list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295), 36, 7))) AS observation_id FROM k""",
+    "relations": f"""WITH {L.LINES}, v AS (SELECT *, (part % 100) / 100.0 AS sure FROM l WHERE part % 11 <> 0), n AS (SELECT page_id, count(*) AS values_ FROM v GROUP BY page_id)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1 AS nth, concat('FY', 2000 + ord) AS category, (cents % 900 + 100)::VARCHAR AS value, round(least(0.85, sure), 6)::DOUBLE AS confidence, 0.0::DOUBLE AS ambiguity, 2::BIGINT AS sources FROM v JOIN n USING (page_id) WHERE values_ >= 3""",
+    "request_plan": f"""WITH {L.SQL}, n AS (SELECT DISTINCT page_id FROM nat), g AS (SELECT page_id, count(*) FILTER (WHERE verdict LIKE 'critical%') AS bad, count(*) FILTER (WHERE recovery_method IS NULL AND confidence >= 0.5) AS sure, count(*) FILTER (WHERE recovery_method IS NULL AND confidence >= 0.5 AND verdict IS NULL) AS alone FROM verdicts GROUP BY page_id),
+k AS (SELECT page_id, coalesce(bad, 0) > 0 AS bad, coalesce(sure >= 8 AND sure - alone < 0.5 * sure, FALSE) AS starved, page_id % 3 = 0 AS ink FROM n LEFT JOIN g USING (page_id))
+SELECT page_id, bad AS adjudication, starved AS full_transcription, NOT starved AND ink AND page_id % 6 = 0 AS residue_crops, NOT starved AND ink AND page_id % 6 <> 0 AS residue_unanswered FROM k WHERE bad OR starved OR ink""",
+    "validation": f"""WITH {L.PLAIN}, v AS (
+SELECT 'observation.box' AS path, 'a box must be finite, ordered and have an area' AS message FROM nat WHERE ord = 5
+UNION ALL SELECT 'observation.text', 'a text must not be blank' FROM ocr WHERE confidence = 0.07
+UNION ALL SELECT 'ocr.confidence', 'a confidence must lie in 0 to 1' FROM ocr WHERE confidence > 0.9
+UNION ALL SELECT 'diagnostics.ocr_count', 'a counter must equal what it counts' FROM (SELECT DISTINCT page_id FROM nat) WHERE page_id % 10 = 0)
+SELECT path, message, count(*) AS rows FROM v GROUP BY ALL""",
+    "valid_tables": "SELECT 0::BIGINT AS violations",
+    "stream_percentiles": "WITH r AS (SELECT event_type AS stage, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS samples FROM events WHERE value IS NOT NULL) SELECT stage, samples, max(value) FILTER (WHERE i = least(samples - 1, CAST(floor(samples * 0.5) AS BIGINT))) AS p50, max(value) FILTER (WHERE i = least(samples - 1, CAST(floor(samples * 0.95) AS BIGINT))) AS p95 FROM r GROUP BY ALL",
     "prose_lines": "SELECT doc_id AS page_id, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS row FROM documents) WHERE len(list_filter(string_split(row, ' '), lambda x: x <> '' AND regexp_matches(x, '\\S'))) > 0 GROUP BY doc_id",
     "stream_totals": "SELECT event_type, count(*) AS n, max(value) AS max, round(avg(value), 6) AS mean FROM events GROUP BY event_type",
     "stream_first_writer": "SELECT DISTINCT user_id FROM events",

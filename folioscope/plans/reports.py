@@ -124,6 +124,7 @@ g AS (SELECT request_id, count(*) AS outputs, count(*) FILTER (WHERE f = 'R') AS
 r AS (SELECT CASE WHEN g.request_id IS NULL THEN 'missing' WHEN e.request_id IS NULL THEN 'unexpected' WHEN outputs > 1 THEN 'duplicate' ELSE 'ok' END AS state, coalesce(outputs, 0) AS outputs, coalesce(exceptions, 0) AS exceptions FROM e FULL JOIN g ON e.request_id = g.request_id)"""
 
 SQL = {
+    "capture_pairs": "WITH c AS (SELECT DISTINCT ON (l_orderkey, ms) l_orderkey AS request_id, ms, l_returnflag AS digest FROM (SELECT *, l_partkey * 1000003 + l_suppkey * 101 + l_linenumber AS ms FROM lineitem)), r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ms) AS n FROM c) SELECT request_id, max(digest) FILTER (WHERE n = 1) AS first, max(digest) FILTER (WHERE n = 2) AS second FROM r WHERE n <= 2 GROUP BY request_id",
     "run_outcomes": f"WITH {_REC} SELECT state, count(*) AS requests, CAST(sum(outputs) AS BIGINT) AS outputs, CAST(sum(exceptions) AS BIGINT) AS exceptions FROM r GROUP BY state",
     "run_totals": f"""WITH {_REC} SELECT count(*) AS captured, count(*) FILTER (WHERE f = 'A') AS completed, count(*) FILTER (WHERE f = 'N') AS failed, count(*) FILTER (WHERE f = 'R' AND l_linenumber % 2 = 0) AS rejected, count(*) FILTER (WHERE f = 'R' AND l_linenumber % 2 = 1) AS other_exceptions,
 CAST(sum(pages_ok) FILTER (WHERE f <> 'R') AS BIGINT) AS pages_ok, quantile_cont((done - spawned)::DOUBLE, 0.5) AS p50_ms, quantile_cont((done - spawned)::DOUBLE, 0.95) AS p95_ms, max(done) - min(spawned) AS window_ms,
