@@ -127,7 +127,7 @@ def quota_sample(df: DataFrame, quotas: DataFrame, key: str, id_col: str, seed:
     """The first rows of a seeded order, as many as a group's quota (SRT7, SRT9)."""
     order = F.xxhash64(F.lit(seed), F.col(id_col))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(order, id_col))
-    return df.join(F.broadcast(quotas.select(key, "quota")), key).withColumn("_rank", rank).where(F.col("_rank") <= F.col("quota")).drop("_rank", "quota")
+    return df.join(quotas.select(key, "quota"), key).withColumn("_rank", rank).where(F.col("_rank") <= F.col("quota")).drop("_rank", "quota")
 
 
 def capture_tolerance(repeats: DataFrame, keys: list[str], value: str, rep: str = "rep") -> DataFrame:

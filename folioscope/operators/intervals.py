@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", stop: str = "stop") -> DataFrame:
-    """Overlapping or touching intervals of a key become one (WIN5): gaps and islands by window."""
-    w = Window.partitionBy(*keys).orderBy(start, stop)
-    before = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = df.withColumn("_new", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0))
-    island = flagged.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(stop).alias(stop), F.count("*").alias("parts")).drop("_island")
+#: Slices of a key's time over which running values are carried, so that a hot key is not one task.
+SLICES = 256
+
+
+def _sliced(df: DataFrame, keys: list[str], at: str, slices: int) -> DataFrame:
+    """Adds ``_slice``: in which of ``slices`` equal parts of its key's time a row lies. Null keys are keys."""
+    ends = df.groupBy(*keys).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi")).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_lo", "_hi")
+    same = [df[k].eqNullSafe(ends[f"_k_{k}"]) for k in keys]
+    width = F.greatest(F.lit(1e-9), (F.col("_hi") - F.col("_lo")).cast("double") / slices)
+    joined = df.join(ends, same) if keys else df.join(F.broadcast(ends))
+    return joined.withColumn("_slice", F.least(F.lit(slices - 1), F.floor((F.col(at) - F.col("_lo")).cast("double") / width)).cast("int")).select(*df.columns, "_slice")
+
+
+def _carried(df: DataFrame, keys: list[str], total: Column, combine) -> DataFrame:
+    """Adds ``_carry``: ``combine`` of the slices' totals over all slices before a row's own."""
+    sums = df.groupBy(*keys, "_slice").agg(total.alias("_t"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    c = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_s"), combine("_t").over(before).alias("_carry"))
+    on = [df[k].eqNullSafe(c[f"_k_{k}"]) for k in keys] + [df["_slice"] == c["_s"]]
+    return df.join(c, on, "left").select(*df.columns, "_carry")
+
+
+def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", stop: str = "stop", *, slices: int = SLICES) -> DataFrame:
+    """Overlapping or touching intervals of a key become one (WIN5): gaps and islands.
+
+    Intervals of one start are first put together; the running maximum of the stops and the
+    number of islands so far run within slices of a key's time and are carried between them,
+    so a key that holds most intervals is spread over many tasks.
+    """
+    own = df.groupBy(*keys, F.col(start).alias("_a")).agg(F.max(stop).alias("_b"), F.count("*").alias("_n"))
+    cut = _sliced(own, keys, "_a", slices)
+    w = Window.partitionBy(*keys, "_slice").orderBy("_a")
+    reach = _carried(cut, keys, F.max("_b"), F.max).withColumn("_before", F.greatest("_carry", F.max("_b").over(w.rowsBetween(Window.unboundedPreceding, -1)))).drop("_carry")
+    flagged = reach.withColumn("_new", F.when(F.col("_before").isNull() | (F.col("_a") > F.col("_before")), 1).otherwise(0))
+    island = _carried(flagged, keys, F.sum("_new"), F.sum).withColumn("_island", F.coalesce("_carry", F.lit(0)) + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy(*keys, "_island").agg(F.min("_a").alias(start), F.max("_b").alias(stop), F.sum("_n").alias("parts")).drop("_island")
 
 
 def covered_duration(df: DataFrame, keys: list[str], start: str = "start", stop: str = "stop") -> DataFrame:
@@ -20,13 +49,14 @@ def covered_duration(df: DataFrame, keys: list[str], start: str = "start", stop:
     return merge_intervals(df, keys, start, stop).groupBy(*keys).agg(F.sum(F.col(stop) - F.col(start)).alias("covered"), F.count("*").alias("islands"))
 
 
-def max_concurrency(df: DataFrame, keys: list[str], start: str = "start", stop: str = "stop") -> DataFrame:
-    """Most intervals open at once (WIN6); at a tie starts come before ends."""
+def max_concurrency(df: DataFrame, keys: list[str], start: str = "start", stop: str = "stop", *, slices: int = SLICES) -> DataFrame:
+    """Most intervals open at once (WIN6); at a tie starts come before ends. Equal edges are summed first and
+    what is open is carried between slices of a key's time."""
     edges = df.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("step")), F.struct(F.col(stop).alias("at"), F.lit(-1).alias("step")))).alias("e")).select(*keys, "e.*")
-    # equal edges are summed first, so the running sum walks over distinct times
-    edges = edges.groupBy(*keys, "at", "step").agg(F.sum("step").alias("n"))
-    w = Window.partitionBy(*keys).orderBy("at", F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
-    return edges.withColumn("open", F.sum("n").over(w)).groupBy(*keys).agg(F.max("open").alias("max_concurrency"))
+    edges = _sliced(edges.groupBy(*keys, "at", "step").agg(F.sum("step").alias("n")), keys, "at", slices)
+    w = Window.partitionBy(*keys, "_slice").orderBy("at", F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
+    run = _carried(edges, keys, F.sum("n"), F.sum).withColumn("open", F.coalesce("_carry", F.lit(0)) + F.sum("n").over(w))
+    return run.groupBy(*keys).agg(F.max("open").alias("max_concurrency"))
 
 
 def intersections(a: DataFrame, b: DataFrame, keys: list[str], *, width: int, start: str = "start", stop: str = "stop") -> DataFrame:

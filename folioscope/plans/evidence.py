@@ -174,12 +174,12 @@ def stream_totals(spark, d):
 
 def stream_first_writer(spark, d):
     """First event of each user, as a stream run to its end."""
-    return S.run_to_end(S.first_writer(S.file_stream(spark, d, "events").select("user_id"), "user_id"), "append")
+    return S.run_to_end(S.first_writer(S.file_stream(spark, d, "events").select("user_id", "ts"), "user_id", "ts"), "append").select("user_id")
 
 
 def stream_percentiles(spark, d):
     """Percentiles of the latest samples by stage, with bounded state."""
-    return S.run_to_end(S.recent_percentiles(S.file_stream(spark, d, "events"), "event_type", "value"), "update")
+    return S.run_to_end(S.recent_percentiles(S.file_stream(spark, d, "events"), "event_type", "value"), "update", ["stage"])
 
 
 QUERIES = {f.__name__: f for f in (corroboration, engaged_diagnostics, proposal_status, paired_report, glyph_audit, page_markdown, page_digest, page_svg, observation_ids, relations, prose_lines, request_plan, validation, valid_tables, gold_tiers, located_claims, conflict_boxes, stream_totals, stream_first_writer, stream_percentiles)}

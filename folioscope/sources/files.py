@@ -27,9 +27,10 @@ def tesseract_words(spark: SparkSession, path: str) -> DataFrame:
 def run_records(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
     """JSON records of a run (SRC17); a key that occurs twice is an error when the rows are read."""
     df = spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
-    seen = df.groupBy(*keys).count().where("count > 1")
-    bad = seen.select(F.raise_error(F.concat(F.lit("duplicate record: "), F.concat_ws("/", *keys))).cast("boolean").alias("x")).where("x")
-    return df.join(bad, F.lit(True), "left_anti")
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_r"))
+    sole = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("duplicate record: "), F.concat_ws("/", *keys))).cast(one.schema["_r"].dataType)).otherwise(F.col("_r"))
+    return one.withColumn("_r", sole).select(*keys, "_r.*").select(*df.columns)
 
 
 def manifest(spark: SparkSession, path: str, split: str = "development") -> DataFrame:
@@ -43,12 +44,10 @@ def log_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.text(path).select(F.from_json(F.regexp_extract("value", r"(\{.*\})", 1), schema).alias("e")).where("e is not null").select("e.*")
 
 
-def captures(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Captured results, JSON lines or one array (SRC33)."""
-    lines = spark.read.option("wholetext", True).text(path)
-    array = F.from_json(F.when(F.trim("value").startswith("["), F.col("value")), f"array<struct<{schema}>>")
-    one = F.filter(F.transform(F.split("value", "\n"), lambda x: F.from_json(x, f"struct<{schema}>")), lambda x: x.isNotNull())
-    return lines.select(F.explode(F.coalesce(array, one)).alias("r")).select("r.*")
+def captures(spark: SparkSession, path: str, schema: str, *, arrays: bool = False) -> DataFrame:
+    """Captured results (SRC33): JSON lines, which are split and read in parallel, or with ``arrays`` files
+    of one array each. Lines that hold no record are left out."""
+    return spark.read.schema(schema).option("multiLine", arrays).option("mode", "PERMISSIVE").json(path).na.drop("all")
 
 
 def text_grid(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,18 +1,20 @@
 """Stateful operators on Structured Streaming.
 
-Sources are file streams; sinks are Delta-free Parquet folders or a memory table, so every
-query can be run to the end of what is there (``availableNow``) and compared with a batch.
+Sources are file streams and sinks are Parquet folders, so every query can be run to the end of
+what is there (``availableNow``), compared with a batch, and gone on with from its checkpoint.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
+
+from folioscope.cluster import scratch, ship
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,16 +26,32 @@ def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return source.parquet(f"{folder}/{name}.parquet") if nested else source.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def run_to_end(stream: DataFrame, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Process what is there and return the result table."""
+def run_to_end(stream: DataFrame, mode: str, keys: list[str] = (), folder: str | None = None) -> DataFrame:
+    """Process what is there and return the result table.
+
+    Batches are written as Parquet under ``folder`` (a fresh one in the shared folder if none is
+    given), each under its number, so a batch that is run again after a failure replaces itself,
+    and nothing passes the driver. The checkpoint lies beside them: a later call with the same
+    folder goes on where this one ended. Complete results are the last batch; of updates the last
+    row of each of ``keys`` counts.
+    """
     spark = stream.sparkSession
-    table = f"stream_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(table).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
+    folder = folder or scratch(spark, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batches/batch={number}")
+
+    columns, schema = list(stream.columns), StructType([*stream.schema.fields, StructField("batch", LongType())])
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(table)
+    rows = spark.read.schema(schema).parquet(f"{folder}/batches")
+    if mode == "complete":
+        last = rows.agg(F.max("batch").alias("batch"))
+        return rows.join(F.broadcast(last), "batch").drop("batch")
+    if mode == "update":
+        own = [c for c in columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*own), "batch").alias("r")).select(*keys, "r.*")
+    return rows.drop("batch")
 
 
 def stage_summary(samples: DataFrame, stage: str, value: str) -> DataFrame:
@@ -61,12 +79,17 @@ def recent_percentiles(samples: DataFrame, stage: str, value: str, *, keep: int
         at = lambda q: ranked[min(len(ranked) - 1, int(q * len(ranked)))] if ranked else None
         yield pd.DataFrame([(key[0], len(ranked), at(0.5), at(0.95))], columns=["stage", "samples", "p50", "p95"])
 
+    ship(samples.sparkSession)
     return samples.select(F.col(stage).cast("string").alias("stage"), F.col(value).cast("double").alias(value)).groupBy("stage").applyInPandasWithState(update, "stage string, samples long, p50 double, p95 double", "held array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
-def first_writer(events: DataFrame, key: str) -> DataFrame:
-    """The first row of a key to arrive wins; later ones are dropped (STR9)."""
-    return events.dropDuplicates([key])
+def first_writer(events: DataFrame, key: str, at: str, late: str = "2 days") -> DataFrame:
+    """The first row of a key to arrive wins; later ones are dropped (STR9).
+
+    A key is remembered for ``late`` after its event time, as long as a result is kept, so the
+    state holds the keys of that span and no more.
+    """
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
 def windowed_totals(events: DataFrame, at: str, width: str, late: str, keys: list[str]) -> DataFrame:
