@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.cluster import is_local, ship  # noqa: F401
+from folioscope.cluster import remove, scratch, shared_dir, ship  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,41 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none and runs on one machine (tests, a laptop) is a temporary
-    folder made and set; a cluster without the setting is an error, since every executor
-    would write its own disk and the tables read back would be incomplete.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not is_local(spark):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="folioscope-")
-        atexit.register(shutil.rmtree, found[len("file://") :], True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is deleted when the application ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:  # the session has ended; a local folder can still go
-        local = path.removeprefix("file://")
-        if local.startswith("/"):
-            shutil.rmtree(local, ignore_errors=True)
-        return
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a table into the shared folder and read it back: cuts the lineage and survives lost executors."""
     return _written(df, name)[0]
@@ -103,7 +63,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .select("node", "label", F.least("next", "offer").alias("next"))
         )
         moved, path = _written(moved, "labels")
-        _remove(spark, stale)
+        remove(spark, stale)
         stale = path
         changed = moved.where("next <> label").limit(1).count()
         labels = moved.select("node", F.col("next").alias("label"))
