@@ -292,13 +292,13 @@ def is_numeric(c: Column) -> Column:
 def table_rows(markdown: Column) -> Column:
     """Cells of the pipe-table rows of a Markdown text, without rules (TXT19)."""
     lines = F.filter(F.split(markdown, "\n"), lambda x: F.trim(x).startswith("|") & ~x.rlike(r"^[\s|:\-]+$"))
-    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), F.trim))
+    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda y: F.trim(y)))
 
 
 def html_tables(markdown: Column) -> Column:
     """The text with each run of pipe-table lines as an HTML table, its first row as the head (TXT22)."""
     cell = lambda x, tag: F.concat(F.lit(f"<{tag}>"), F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit(f"</{tag}>"))
-    cells = lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda y: F.trim(y))
     row = lambda x, tag: F.concat(F.lit("<tr>"), F.array_join(F.transform(cells(x), lambda y: cell(y, tag)), ""), F.lit("</tr>"))
     is_row, is_rule = (lambda x: F.trim(x).startswith("|")), (lambda x: x.rlike(r"^[\s|:\-]+$"))
     lines = F.split(F.coalesce(markdown, F.lit("")), "\n")

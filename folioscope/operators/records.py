@@ -100,15 +100,30 @@ def admit_second_opinion(readings: DataFrame, pages: DataFrame) -> DataFrame:
     return df.where(~T.is_blank(F.col("text")) & G.is_within(G.box(), F.col("width"), F.col("height")) & sure).drop("width", "height")
 
 
-def chart_matches(gold: DataFrame, found: DataFrame) -> DataFrame:
-    """Chart tuples found, each once (JOIN23, AGG19): category and value equal after normalisation,
-    counted as multisets. Both have page_id, category, value."""
-    norm = lambda df: df.select("page_id", T.evidence_text(F.col("category")).alias("c"), T.evaluation_token_normal(F.col("value")).alias("v"))
-    n = lambda df, name: norm(df).groupBy("page_id", "c", "v").agg(F.count("*").alias(name))
-    both = n(gold, "g").join(n(found, "f"), ["page_id", "c", "v"], "full_outer").na.fill(0, ["g", "f"])
-    sums = both.groupBy("page_id").agg(F.sum("g").alias("gold"), F.sum("f").alias("found"), F.sum(F.least("g", "f")).alias("matched"))
+def chart_matches(gold: DataFrame, found: DataFrame, *, fold: bool = True) -> DataFrame:
+    """Chart tuples found, each detection used once (JOIN23, AGG19): all tokens of category and value
+    compatible one by one. Both have page_id, category, value; gold goes in the order of its text."""
     from folioscope.functions.numbers import rate
-
+    from folioscope.operators.pages import fold_pages
+
+    def side(df: DataFrame, n: int) -> DataFrame:
+        text = F.concat_ws(" ", F.coalesce("category", F.lit("")), F.coalesce("value", F.lit("")))
+        return df.select("page_id", F.lit(n).alias("side"), text.alias("text"), T.critical_tokens(text, fold=fold).alias("tokens"))
+
+    def run(rows: list[dict]) -> list[tuple]:
+        left = [r["tokens"] for r in rows if r["side"] == 0]
+        n_found, n_gold, hit = len(left), 0, 0
+        fits = lambda a, b: len(a) == len(b) and all(x["core"] == y["core"] and (x["tail"] is None or y["tail"] is None or x["tail"] == y["tail"]) for x, y in zip(a, b))
+        for r in (r for r in rows if r["side"]):
+            n_gold += 1
+            k = next((k for k, x in enumerate(left) if fits(x, r["tokens"])), None)
+            if k is not None:
+                left.pop(k)
+                hit += 1
+        return [(rows[0]["page_id"], n_gold, n_found, hit)]
+
+    kind = gold.schema["page_id"].dataType.simpleString()
+    sums = fold_pages(side(found, 0).unionByName(side(gold, 1)), ["page_id"], ["side", "text"], run, f"page_id {kind}, gold long, found long, matched long")
     return sums.withColumns({"recall": rate(F.col("matched"), F.col("gold")), "precision": rate(F.col("matched"), F.col("found"))})
 
 

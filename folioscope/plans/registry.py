@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from folioscope.plans import evidence, relational, reports
+from folioscope.plans import evidence, forms, relational, reports
+
+PLANS = (relational, evidence, reports, forms)
 
 
 def queries() -> dict:
-    return {**relational.QUERIES, **evidence.QUERIES, **reports.QUERIES}
+    return {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**relational.SQL, **evidence.SQL, **reports.SQL}
+    return {name: sql for plan in PLANS for name, sql in plan.SQL.items()}

@@ -78,8 +78,10 @@ def page_strata(spark, d):
 
 
 def recognizer_routes(spark, d):
-    route = R.route_recognizer(F.col("o_totalprice") / 100000, F.col("o_orderpriority"))
-    return _t(spark, d, "orders").groupBy(route.alias("route")).agg(F.count("*").alias("readings"))
+    """Readings of parts: sure and unsure ones, with digits, in Han, kana, Hangul and Latin."""
+    text = F.element_at(F.array(*[F.lit(x) for x in ("plain", "12 a", "漢字", "かな", "한글", "naïve")]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    route = R.route_recognizer(F.col("p_size") / 50, text, 0.5)
+    return _t(spark, d, "part").groupBy(route.alias("route")).agg(F.count("*").alias("readings"))
 
 
 def tier_report(spark, d):
@@ -143,7 +145,7 @@ k AS (SELECT chars, t, n, (doc_id + n) % 10 / 10.0 AS covered, (doc_id + n) % 13
 s AS (SELECT CASE WHEN n % 11 = 5 THEN 'recovery-pass' WHEN chars < 200 THEN 'no-native-layer' WHEN covered < 0.6 THEN 'not-native-covered' WHEN roman OR regexp_matches(t, '\p{N}') THEN 'native-has-digit' WHEN odd THEN 'native-suspicious' ELSE 'skip' END AS decision,
              length(t) + CASE WHEN odd OR roman THEN 1 ELSE 0 END AS len FROM k)
 SELECT decision, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(sum(len) / sum(sum(len)) OVER (), 6) AS char_share FROM s GROUP BY decision""",
-    "recognizer_routes": "SELECT CASE WHEN o_totalprice / 100000 < 0.9 OR regexp_matches(o_orderpriority, '[0-9]') THEN 'reference' ELSE 'fast' END AS route, count(*) AS readings FROM orders GROUP BY 1",
+    "recognizer_routes": "SELECT CASE WHEN p_size / 50 < 0.5 OR p_partkey % 6 IN (1, 2, 3, 4) THEN 'reference' ELSE 'fast' END AS route, count(*) AS readings FROM part GROUP BY 1",
     "tier_report": "SELECT l_returnflag AS tier, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS tokens, CAST(sum(least(CAST(l_quantity AS BIGINT), 20)) AS BIGINT) AS matched, round(sum(least(CAST(l_quantity AS BIGINT), 20)) / sum(CAST(l_quantity AS BIGINT)), 6) AS recall FROM lineitem GROUP BY 1",
     "verdict_composition": "SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY o_orderpriority), 6) AS share FROM orders GROUP BY o_orderpriority, o_orderstatus",
     "plan_parity": """WITH a AS (SELECT l_orderkey AS p, list_sort(list(DISTINCT l_returnflag)) AS r FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1), b AS (SELECT l_orderkey AS p, list_sort(list(DISTINCT l_returnflag)) AS r FROM lineitem WHERE l_linenumber >= 2 GROUP BY 1)
