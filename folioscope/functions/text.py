@@ -143,14 +143,15 @@ def similarity_forms(form: Column) -> dict[str, Column]:
     return {"compact": F.replace(form, F.lit(" "), F.lit("")), "bag": F.transform(words, lambda w, i: F.concat(w, F.lit(" "), (i - F.array_position(words, w) + 1).cast("string")))}
 
 
-def similarity_of(a: Column, b: Column, compact_a: Column, compact_b: Column, bag_a: Column, bag_b: Column) -> Column:
-    """0 to 1 (TXT8) from the forms and what ``similarity_forms`` makes of them: 1 if equal (spaces
-    aside), the ratio of lengths if one holds the other, else the Dice coefficient of the bags."""
+def similarity_of(compact_a: Column, compact_b: Column, bag_a: Column, bag_b: Column) -> Column:
+    """0 to 1 (TXT8) from what ``similarity_forms`` makes of two evidence forms: 0 if one is empty, 1 if
+    they are equal (spaces aside), the ratio of lengths if one holds the other, else the Dice
+    coefficient of the bags."""
     la, lb = F.length(compact_a).cast("double"), F.length(compact_b).cast("double")
     n = F.size(bag_a) + F.size(bag_b)
     return (
-        F.when((a == "") | (b == ""), 0.0)
-        .when((a == b) | (compact_a == compact_b), 1.0)
+        F.when((compact_a == "") | (compact_b == ""), 0.0)
+        .when(compact_a == compact_b, 1.0)
         .when(F.contains(compact_a, compact_b) | F.contains(compact_b, compact_a), F.least(la, lb) / F.greatest(la, lb))
         .when((F.size(bag_a) == 0) | (F.size(bag_b) == 0), 0.0)
         .otherwise(2.0 * F.size(F.array_intersect(bag_a, bag_b)) / n)
@@ -160,7 +161,7 @@ def similarity_of(a: Column, b: Column, compact_a: Column, compact_b: Column, ba
 def similarity(a: Column, b: Column) -> Column:
     """The same (TXT8) for two evidence forms that are columns of their own."""
     fa, fb = similarity_forms(a), similarity_forms(b)
-    return similarity_of(a, b, fa["compact"], fb["compact"], fa["bag"], fb["bag"])
+    return similarity_of(fa["compact"], fb["compact"], fa["bag"], fb["bag"])
 
 
 def has_letter(c: Column) -> Column:

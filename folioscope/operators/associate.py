@@ -42,26 +42,32 @@ def _prepared(df: DataFrame, prefix: str, text: str, fold: bool) -> DataFrame:
 
 
 _O_BOX = {"x0": "o_x0", "y0": "o_y0", "x1": "o_x1", "y1": "o_y1"}
+#: Bands that share a join key.
+SPAN = 4
 
 
 def scored_pairs(cands: DataFrame, ocr: DataFrame, *, scale: float = K.REFERENCE_SCALE, bucket: float | None = None, fold: bool = True) -> DataFrame:
     """Every reading with the candidates near it, and their scores (JOIN2).
 
-    Both sides are spread over horizontal bands, the reading's side one band wider, and meet
-    by page and band: an equi join whose size follows the text, not pages squared. A pair that
-    meets in several bands is kept in the first. All that is made of one text is made before.
+    Near are those that share a horizontal band, the reading's side one band wider. Both sides
+    are spread over spans of ``SPAN`` bands and meet by page and span: an equi join whose size
+    follows the text, not pages squared, with little more than a row each. A pair is kept in the
+    span of its first common band, which is ``band``. All that is made of one text is made
+    before the join, and no text goes through it.
     """
     size = bucket or K.BUCKET_PT * scale
-    left = _prepared(cands.select("page_id", "candidate", "text", "x0", "y0", "x1", "y1", "members"), "n_", "text", fold).drop("text")
-    left = left.withColumn("first", F.floor(F.col("y0") / size)).withColumn("band", F.explode(_buckets(F.col("y0"), F.col("y1"), size)))
+    spans = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / SPAN), F.floor(F.col(hi) / SPAN)))
+    many = F.when(F.size("members") > 1, F.col("members")).alias("members")
+    left = _prepared(cands.select("page_id", "candidate", "text", "x0", "y0", "x1", "y1", many), "n_", "text", fold).drop("text", "n_form")
+    left = left.withColumns({"first": F.floor(F.col("y0") / size), "last": F.floor(F.col("y1") / size)}).withColumn("span", spans("first", "last"))
     right = ocr.select("page_id", F.col("id").alias("ocr_id"), F.col("ord").alias("ocr_ord"), "text", *[F.col(c).alias(n) for c, n in _O_BOX.items()], F.col("recovery_method").isNotNull().alias("recovered"))
-    right = _prepared(right, "o_", "text", fold).drop("text").withColumn("o_first", F.floor(F.col("o_y0") / size) - 1)
-    right = right.withColumn("band", F.explode(_buckets(F.col("o_y0"), F.col("o_y1"), size, 1)))
-    pairs = left.join(right, ["page_id", "band"]).where(F.col("band") == F.greatest("first", "o_first"))
+    right = _prepared(right, "o_", "text", fold).drop("text", "o_form").withColumns({"o_first": F.floor(F.col("o_y0") / size) - 1, "o_last": F.floor(F.col("o_y1") / size) + 1}).withColumn("span", spans("o_first", "o_last"))
+    band = F.greatest("first", "o_first")
+    pairs = left.join(right, ["page_id", "span"]).where((band <= F.least("last", "o_last")) & (F.floor(band / SPAN) == F.col("span"))).withColumn("band", band)
     o = G.box("o_")
     of_many = F.array_max(F.transform("members", lambda m: G.overlap_over_smaller((m["x0"], m["y0"], m["x1"], m["y1"]), o)))
-    geometric = F.when(F.size("members") > 1, of_many).otherwise(G.overlap_over_smaller(G.box(), o))
-    textual = T.similarity_of(*[F.col(f"{p}{k}") for k in ("form", "compact", "bag") for p in ("n_", "o_")])
+    geometric = F.when(F.col("members").isNotNull(), of_many).otherwise(G.overlap_over_smaller(G.box(), o))
+    textual = T.similarity_of(*[F.col(f"{p}{k}") for k in ("compact", "bag") for p in ("n_", "o_")])
     pairs = pairs.withColumns({"geometric": geometric, "textual": textual})
     return pairs.withColumn("score", F.col("textual") * K.TEXT_WEIGHT + F.col("geometric") * K.GEOMETRY_WEIGHT)
 
