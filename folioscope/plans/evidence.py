@@ -127,8 +127,8 @@ def validation(spark, d):
     page's diagnostics, forged counters."""
     _, native, ocr = _sides(spark, d)
     lines = Gr.native_lines(native).persist()
-    v = A.associate(native, ocr, lines, fold=False, texts=False)
-    pages = D.page_diagnostics(ocr, v, native.groupBy("page_id").agg(F.count("*").alias("native_count")))
+    v = A.associate(native, ocr, lines, fold=False, texts=False).persist()
+    pages = D.page_diagnostics(ocr, v, native.groupBy("page_id").agg(F.count("*").alias("native_count"))).persist()
     bad_ocr = ocr.withColumns({"confidence": F.when(F.col("confidence") > 0.9, F.col("confidence") + 0.5).otherwise(F.col("confidence")), "text": F.when(F.col("confidence") == 0.07, "  ").otherwise(F.col("text"))})
     bad_native = native.withColumn("x1", F.when(F.col("ord") == 5, F.col("x0")).otherwise(F.col("x1")))
     forged = pages.withColumn("ocr_count", F.when(F.col("page_id") % 10 == 0, F.col("ocr_count") + 1).otherwise(F.col("ocr_count")))
@@ -138,8 +138,8 @@ def validation(spark, d):
 def valid_tables(spark, d):
     """Rules that the derived tables break as they are: none, so one row with zero."""
     _, native, ocr = _sides(spark, d)
-    v = A.associate(native, ocr, Gr.native_lines(native).persist(), fold=False, texts=False)
-    pages = D.page_diagnostics(ocr, v, native.groupBy("page_id").agg(F.count("*").alias("native_count")))
+    v = A.associate(native, ocr, Gr.native_lines(native).persist(), fold=False, texts=False).persist()
+    pages = D.page_diagnostics(ocr, v, native.groupBy("page_id").agg(F.count("*").alias("native_count"))).persist()
     return V.page_violations(native, ocr, v, pages).agg(F.count("*").alias("violations"))
 
 
