@@ -39,7 +39,7 @@ from folioscope.llm.common import materialize, ship
 
 LENGTH, Q = 200, 32
 #: Window starts that are worked on at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_rng.integers(1, 1 << 62)) * 8 + 5
