@@ -12,7 +12,7 @@ from folioscope.operators.jobs import FAILURE_CODES, MOST_PAGES, MOST_RESULT_BYT
 
 # The failure that the public sees, the compact form's version, and how ids look.
 FAILED_PAGE = ("page_failed", "Page could not be parsed.")
-COMPACT_VERSION = "pagespatial-compact-v1"
+COMPACT_VERSION = "compact-v1"
 UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 EXECUTION_ID = "^[0-9a-f]{32}$"
 
@@ -96,7 +96,7 @@ def failure_violations(failures: DataFrame, expected: DataFrame) -> DataFrame:
     return df.select("attempt_id", _first(rules).alias("violation")).where("violation is not null")
 
 
-def stored_pair_violations(stored: DataFrame, pointers: DataFrame | None = None) -> DataFrame:
+def stored_pair_violations(stored: DataFrame, pointers: DataFrame | None = None, *, compact_version: str = COMPACT_VERSION) -> DataFrame:
     """The first thing wrong with each stored pair of evidence and compact form (VAL5, VAL8).
 
     ``stored``: attempt_id, expected_job, input_digest, max_pages, evidence and compact (JSON
@@ -122,7 +122,7 @@ def stored_pair_violations(stored: DataFrame, pointers: DataFrame | None = None)
             (F.forall(pages, lambda p: p["ok"].isNotNull()), f"{name} page has no boolean outcome"), (F.forall(pages, public), f"{name} failure is not public-safe"),
         ]
 
-    rules = [*envelope("_e", "evidence"), (F.col("_e.schema_version") == 1, "evidence version"), (F.col("_e.execution_id").rlike(EXECUTION_ID), "execution id"), *envelope("_c", "compact"), ((F.col("_c.schema_version") == COMPACT_VERSION) & (F.col("_c.representation") == "compact"), "compact version"), (F.col("_c.page_count") == F.col("_e.page_count"), "compact page count does not match its evidence")]
+    rules = [*envelope("_e", "evidence"), (F.col("_e.schema_version") == 1, "evidence version"), (F.col("_e.execution_id").rlike(EXECUTION_ID), "execution id"), *envelope("_c", "compact"), ((F.col("_c.schema_version") == compact_version) & (F.col("_c.representation") == "compact"), "compact version"), (F.col("_c.page_count") == F.col("_e.page_count"), "compact page count does not match its evidence")]
     if pointers is not None:
         same = [(F.col(f"_p_{p}_digest") == F.sha2(c, 256)) & (F.col(f"_p_{p}_bytes") == size(c)) for p, c in (("result", "evidence"), ("compact_result", "compact"))]
         rules += [(same[0], "evidence does not match its pointer"), (same[1], "compact does not match its pointer"), (F.col("_p_page_count") == F.col("_e.page_count"), "page count does not match its pointer")]

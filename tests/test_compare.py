@@ -62,7 +62,7 @@ IDS = dict(job_id="0" * 8 + "-0000-1000-8000-" + "0" * 12, attempt_id="a1", inpu
 
 def envelope(compact=False, n=2, **more):
     pages = [{"page_number": i + 1, "ok": True} for i in range(n - 1)] + [{"page_number": n, "ok": False, "failure": {"code": "page_failed", "message": "Page could not be parsed."}}]
-    own = {"schema_version": "pagespatial-compact-v1", "representation": "compact"} if compact else {"schema_version": 1, "execution_id": "b" * 32}
+    own = {"schema_version": Rs.COMPACT_VERSION, "representation": "compact"} if compact else {"schema_version": 1, "execution_id": "b" * 32}
     return {**own, **IDS, "page_count": n, "pages": pages, **more}
 
 
