@@ -6,10 +6,11 @@ what is there (``availableNow``), compared with a batch, and gone on with from i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
@@ -26,22 +27,23 @@ def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return source.parquet(f"{folder}/{name}.parquet") if nested else source.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def run_to_end(stream: DataFrame, mode: str, keys: list[str] = (), folder: str | None = None) -> DataFrame:
+def run_to_end(stream: DataFrame, mode: str, keys: list[str] = (), folder: str | None = None, each: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
     """Process what is there and return the result table.
 
     Batches are written as Parquet under ``folder`` (a fresh one in the shared folder if none is
     given), each under its number, so a batch that is run again after a failure replaces itself,
     and nothing passes the driver. The checkpoint lies beside them: a later call with the same
     folder goes on where this one ended. Complete results are the last batch; of updates the last
-    row of each of ``keys`` counts.
+    row of each of ``keys`` counts. ``each`` is what of a batch is written.
     """
     spark = stream.sparkSession
     folder = folder or scratch(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batches/batch={number}")
+        each(batch).write.mode("overwrite").parquet(f"{folder}/batches/batch={number}")
 
-    columns, schema = list(stream.columns), StructType([*stream.schema.fields, StructField("batch", LongType())])
+    kept = each(spark.createDataFrame([], stream.schema)).schema
+    columns, schema = kept.names, StructType([*kept.fields, StructField("batch", LongType())])
     query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     rows = spark.read.schema(schema).parquet(f"{folder}/batches")
@@ -83,6 +85,43 @@ def recent_percentiles(samples: DataFrame, stage: str, value: str, *, keep: int
     return samples.select(F.col(stage).cast("string").alias("stage"), F.col(value).cast("double").alias(value)).groupBy("stage").applyInPandasWithState(update, "stage string, samples long, p50 double, p95 double", "held array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
+def value_counts(batch: DataFrame) -> DataFrame:
+    """How often each value of a stage occurs: ``stage``, ``value``, ``n``; null values go."""
+    return batch.where("value is not null").groupBy("stage", "value").agg(F.count("*").alias("n"))
+
+
+def floor_percentiles(counts: DataFrame, shares: dict[str, Decimal]) -> DataFrame:
+    """Percentiles by floor rank over all samples of a stage, exact (AGG14, NUM3).
+
+    ``counts``: ``stage``, ``value``, ``n``; rows of one value add up. Values are cut into ranges,
+    and the ranges' sums give each the ranks before it, so a stage that holds most values is no
+    single task.
+    """
+    spark = counts.sparkSession
+    path = scratch(spark, "ranges")
+    ranges = counts.groupBy("stage", "value").agg(F.sum("n").alias("n")).repartitionByRange("stage", "value").withColumn("part", F.spark_partition_id())
+    ranges.write.parquet(path)
+    rows = spark.read.schema(ranges.schema).parquet(path)
+    own = Window.partitionBy("stage")
+    parts = rows.groupBy("stage", "part").agg(F.sum("n").alias("held"))
+    parts = parts.select(F.col("stage").alias("s"), F.col("part").alias("p"), (F.sum("held").over(own.orderBy("part")) - F.col("held")).alias("before"), F.sum("held").over(own).alias("samples"))
+    ranked = rows.join(F.broadcast(parts), F.col("stage").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    ranked = ranked.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("stage", "part").orderBy("value")))
+    rank = lambda share: F.least(F.col("samples") - 1, F.floor(F.col("samples") * F.lit(share)).cast("long"))
+    at = lambda share: F.max(F.when((F.col("upto") - F.col("n") <= rank(share)) & (rank(share) < F.col("upto")), F.col("value")))
+    return ranked.groupBy("stage").agg(F.max("samples").alias("samples"), *[at(share).alias(name) for name, share in shares.items()])
+
+
+def all_percentiles(samples: DataFrame, stage: str, value: str, folder: str | None = None) -> DataFrame:
+    """p50 and p95 by floor rank over every sample of a stage, as a stream run to its end.
+
+    Of each batch the counts of its values are kept, so no state is held in memory and a batch
+    that runs again replaces itself; a later call with the same folder adds what is new.
+    """
+    rows = samples.select(F.col(stage).cast("string").alias("stage"), F.col(value).cast("double").alias("value"))
+    return floor_percentiles(run_to_end(rows, "append", folder=folder, each=value_counts), {"p50": Decimal("0.5"), "p95": Decimal("0.95")})
+
+
 def first_writer(events: DataFrame, key: str, at: str, late: str = "2 days") -> DataFrame:
     """The first row of a key to arrive wins; later ones are dropped (STR9).
 
