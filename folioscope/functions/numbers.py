@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import ceil, comb, floor, lgamma, log, exp
+from math import ceil, comb, exp, floor, lgamma, log, log1p
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,16 +47,39 @@ def mcnemar_exact(only_a: int, only_b: int) -> float:
     n = only_a + only_b
     if not n:
         return 1.0
-    tail = sum(comb(n, k) for k in range(min(only_a, only_b) + 1))
+    few = min(only_a, only_b)
+    if n > 1000:
+        return min(1.0, 2 * _at_most(few, n, 0.5))
+    tail = sum(comb(n, k) for k in range(few + 1))
     return min(1.0, 2 * tail / 2**n)
 
 
+def _beta_share(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function by its continued fraction: about sqrt(a + b) steps, so a
+    binomial tail costs no sum over all its terms."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    out, m = d, 0
+    while True:
+        m += 1
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + step * d or tiny)
+            c = 1 + step / c or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-15 or m > 10**6:
+            return out * exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x)) / a
+
+
 def _at_most(k: int, n: int, p: float) -> float:
     if p <= 0 or k >= n:
         return 1.0
     if p >= 1:
         return 0.0
-    return sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p)) for i in range(k + 1))
+    return _beta_share(n - k, k + 1, 1 - p)
 
 
 def _bisect(f, lo: float = 0.0, hi: float = 1.0) -> float:

@@ -6,11 +6,15 @@ The order of the claims decides, so this is a fold per page, run in input order.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope import constants as K
+from folioscope.cluster import ship
 from folioscope.functions import text as T
 from folioscope.functions.numbers import rate
 from folioscope.operators.pages import fold_pages
@@ -62,18 +66,45 @@ def _prepared(df: DataFrame, side: int, fold: bool) -> DataFrame:
     return df.select("page_id", F.lit(side).alias("side"), "ord", "id", T.critical_tokens(F.col("text"), fold=fold).alias("tokens"), T.evidence_text(F.col("text"), fold=fold).alias("normal"))
 
 
+def _vouched(claims: DataFrame, pools: dict[str, DataFrame], fold: bool) -> DataFrame:
+    """``page_id``, ``id`` and, for each of ``pools``, whether its readings vouch for the claim: one walk over a
+    page serves all pools. Tokens come out of Arrow as flat lists, not as a dictionary each."""
+    ship(claims.sparkSession)
+    n = len(pools)
+    both = reduce(DataFrame.unionByName, [_prepared(r, i, fold).withColumn("id", F.lit(None).cast("string")) for i, r in enumerate(pools.values())] + [_prepared(claims, n, fold)])
+    both = both.select("page_id", "side", "ord", F.col("id").cast("string").alias("id"), F.col("tokens.core").alias("cores"), F.col("tokens.tail").alias("tails"), F.when((F.size("tokens") == 0) | (F.col("side") < n), F.col("normal")).alias("normal"))
+    ordered = both.repartition(F.xxhash64("page_id")).sortWithinPartitions("page_id", "side", "ord")
+    kind = claims.schema["page_id"].dataType.simpleString()
+    names = ["page_id", "id", *pools]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, begun, held, ready = None, False, [([], []) for _ in range(n)], None
+        for b in batches:
+            pages, sides, ids, normals = (b.column(i).to_pylist() for i in (0, 1, 3, 6))
+            cores, tails, ends = b.column(4).flatten().to_pylist(), b.column(5).flatten().to_pylist(), b.column(4).value_lengths().fill_null(0).to_pylist()
+            out, at = [[] for _ in names], 0
+            for page, side, own, normal, m in zip(pages, sides, ids, normals, ends):
+                tokens = [{"core": c, "tail": t} for c, t in zip(cores[at : at + m], tails[at : at + m])]
+                at += m
+                if page != now or not begun:
+                    now, begun, held, ready = page, True, [([], []) for _ in range(n)], None
+                if side < n:
+                    held[side][0].extend(tokens)
+                    held[side][1].append(normal)
+                    continue
+                if ready is None:
+                    ready = [Pool(t, " ".join(x for x in texts if x)) if texts else None for t, texts in held]
+                for col, v in zip(out, (page, own, *[p is not None and p.vouches(tokens, normal or "") for p in ready])):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], b.schema.field(0).type), pa.array(out[1], pa.string()), *[pa.array(c, pa.bool_()) for c in out[2:]]], names)
+
+    return ordered.mapInArrow(run, f"page_id {kind}, id string, " + ", ".join(f"{c} boolean" for c in pools))
+
+
 def corroborated(claims: DataFrame, readings: DataFrame, *, fold: bool = True) -> DataFrame:
     """Claims with ``corroborated`` (JOIN4). Both tables have page_id, ord, id and text; a page
     without readings corroborates nothing."""
-
-    def run(rows: list[dict]) -> list[tuple]:
-        own = [r for r in rows if r["side"] == 0]
-        pool = Pool([t for r in own for t in r["tokens"]], " ".join(r["normal"] for r in own if r["normal"]))
-        return [(r["page_id"], r["id"], bool(own) and pool.vouches(r["tokens"], r["normal"])) for r in rows if r["side"]]
-
-    both = _prepared(readings, 0, fold).unionByName(_prepared(claims, 1, fold))
-    kind = claims.schema["page_id"].dataType.simpleString()
-    return fold_pages(both, ["page_id"], ["side", "ord"], run, f"page_id {kind}, id string, corroborated boolean")
+    return _vouched(claims, {"corroborated": readings}, fold)
 
 
 def engaged_by_second_reading(ocr: DataFrame, second: DataFrame, *, floor: float = K.LOW_CONFIDENCE, fold: bool = True) -> DataFrame:
@@ -86,18 +117,14 @@ def engaged_by_second_reading(ocr: DataFrame, second: DataFrame, *, floor: float
 def proposal_status(proposals: DataFrame, native: DataFrame, ocr: DataFrame, *, fold: bool = True) -> DataFrame:
     """Which witnesses hold each proposal: both, native, ocr or novel (JOIN6); here all
     readings count, recoveries too."""
-    a = corroborated(proposals, native, fold=fold).withColumnRenamed("corroborated", "in_native")
-    b = corroborated(proposals, ocr, fold=fold).withColumnRenamed("corroborated", "in_ocr")
     status = F.when(F.col("in_native") & F.col("in_ocr"), "both").when(F.col("in_native"), "native").when(F.col("in_ocr"), "ocr").otherwise("novel")
-    return a.join(b, ["page_id", "id"]).withColumn("status", status)
+    return _vouched(proposals, {"in_native": native, "in_ocr": ocr}, fold).withColumn("status", status)
 
 
 def paired_classes(truth: DataFrame, a: DataFrame, b: DataFrame, *, fold: bool = True) -> DataFrame:
     """For each true token: found by both, by A only, by B only or by neither (JOIN15)."""
-    x = corroborated(truth, a, fold=fold).withColumnRenamed("corroborated", "in_a")
-    y = corroborated(truth, b, fold=fold).withColumnRenamed("corroborated", "in_b")
     name = F.when(F.col("in_a") & F.col("in_b"), "both").when(F.col("in_a"), "a_only").when(F.col("in_b"), "b_only").otherwise("neither")
-    return x.join(y, ["page_id", "id"]).withColumn("class", name)
+    return _vouched(truth, {"in_a": a, "in_b": b}, fold).withColumn("class", name)
 
 
 def _plain(core: str) -> tuple[str, str]:
