@@ -21,8 +21,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by a Jaccard similarity of 0.8 or more over five-word shingles the one with the smallest id stays."""
-    return neardup.drop_near_copies(docs)
+    """Of documents joined by SimHash fingerprints at most 4 bits apart, or by a Jaccard similarity of 0.8 or more over
+    five-word shingles, which reaches pairs more bits apart, the one with the smallest id stays."""
+    return neardup.drop_joint_copies(docs)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import connected_components, materialize, ship
-from folioscope.llm.simhash import keep_least
+from folioscope.llm.simhash import keep_least, near_duplicate_groups
 
 #: Words of a shingle; the least similarity as a fraction.
 SHINGLE, SIMILAR = 5, (4, 5)
@@ -168,3 +168,25 @@ def near_copy_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group stays, the one with the smallest id; rows without an id stay as well."""
     return keep_least(docs, near_copy_groups(docs, id_col=id_col, text_col=text_col), id_col)
+
+
+def joint_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Group the rows that are connected by close SimHash fingerprints or by similar sets of shingles.
+
+    Fingerprints (``near_duplicate_groups``) come first; shingles add the pairs that are more bits
+    apart. Both depend on the text alone, so a hash of it stands for the row: links of either kind
+    meet at equal texts, and rows without an id connect others too. Returns the id column and
+    ``component_id``, the group's smallest id (null if it has none).
+    """
+    texts = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].alias("text"))
+    prints = materialize(near_duplicate_groups(texts, id_col="h").select("h", F.col("component_id").alias("a")).distinct(), "by-print")
+    sets = materialize(near_copy_groups(texts, id_col="h").select("h", F.col("component_id").alias("b")).distinct(), "by-set")
+    comps = connected_components(prints.join(sets, "h").where("a <> b").select("a", "b").distinct())
+    roots = prints.join(comps.select(F.col("node").alias("a"), "component"), "a", "left").select("h", F.coalesce("component", "a").alias("root"))
+    rooted = materialize(texts.select("id", "h").join(roots, "h").select("id", "root"), "rooted")
+    return rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select(F.col("id").alias(id_col), "component_id")
+
+
+def drop_joint_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of ``joint_groups`` stays, the one with the smallest id; rows without an id stay as well."""
+    return keep_least(docs, joint_groups(docs, id_col=id_col, text_col=text_col), id_col)

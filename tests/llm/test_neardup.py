@@ -63,3 +63,33 @@ def test_stage_drops_copies_that_differ_in_some_words(spark):
         far[k] = "other"
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], SCHEMA)
     assert sorted(r.doc_id for r in C.near_duplicates(spark, df, "").collect()) == [1, 3]
+
+
+def test_stage_links_by_fingerprints_and_by_shingles(spark):
+    """Links of both kinds make one group; against all pairs."""
+    from .test_simhash import slow_print
+
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(2000)]
+    rows = [(i, t) for i, t in corpus() if i is not None and i < 60]
+    # two different one-word sets apart from a frequent shingle: the same fingerprint, few shingles in common
+    frame = " ".join(["on"] * 400)
+    rows += [(200 + k, frame + " " + " ".join(words[k * 60 : k * 60 + 60])) for k in range(4)]
+    rows += [(300, frame + " " + " ".join(words[:59] + ["other"])), (301, None), (302, "")]
+    sets, prints = [grams(t) for _, t in rows], [slow_print(t) for _, t in rows]
+    by_set = lambda x, y: sets[x] == sets[y] or sets[x] and sets[y] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
+    by_print = lambda x, y: (prints[x] ^ prints[y]).bit_count() <= 4
+    label, changed = list(range(len(rows))), True
+    while changed:
+        changed = False
+        for x in range(len(rows)):
+            for y in range(len(rows)):
+                if label[y] < label[x] and (by_set(x, y) or by_print(x, y)):
+                    label[x], changed = label[y], True
+    least = {}
+    for x, (i, _) in enumerate(rows):
+        least[label[x]] = min(i, least.get(label[x], i))
+    assert any(by_print(x, y) and not by_set(x, y) for x in range(len(rows)) for y in range(x))
+    assert any(by_set(x, y) and not by_print(x, y) for x in range(len(rows)) for y in range(x))
+    want = set(least.values())
+    assert {r.doc_id for r in C.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "").collect()} == want
