@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +60,71 @@ def align(native: str, read: str) -> list[str | None]:
     return out
 
 
+def straight(pairs: list[tuple[str, str]]) -> list[bool]:
+    """Which pairs ``align`` would align place by place, decided for many at once.
+
+    That is so for texts of one length unless a path off the diagonal is cheaper than their ``d``
+    differences. A path that goes ``k`` places off pays ``2 * GAP * k`` for gaps, so only a band of
+    ``(d - 1) // (2 * GAP)`` places can hold one; a tie goes to the diagonal.
+    """
+    out, bands = [False] * len(pairs), defaultdict(list)
+    for at, (x, y) in enumerate(pairs):
+        if len(x) == len(y):
+            a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (x, y))
+            d = 0 if x == y else int((a != b).sum())
+            if d <= 2 * GAP:
+                out[at] = True
+            else:
+                bands[1 << ((d - 1) // (2 * GAP) - 1).bit_length()].append((len(x), at, a, b, d))
+    for k, rows in bands.items():
+        rows.sort(key=lambda r: -r[0])
+        for part in (rows[i : i + 1024] for i in range(0, len(rows), 1024)):
+            longest, lengths = part[0][0], np.array([r[0] for r in part])
+            own, read = np.zeros((longest, len(part)), np.uint32), np.full((longest + 2 * k + 1, len(part)), 0xFFFFFFFF, np.uint32)
+            for j, (n, _, a, b, _) in enumerate(part):
+                own[:n, j], read[k : k + n, j] = a, b
+            off = np.arange(-k, k + 1, dtype=np.int32)[:, None] * GAP
+            cost = np.where(off < 0, np.int32(1 << 20), off) + np.zeros((1, len(part)), np.int32)
+            for i in range(longest):
+                m = int(np.searchsorted(-lengths, -i, "left"))  # those longer than i
+                cost = cost[:, :m]
+                step = cost + (read[i : i + 2 * k + 1, :m] != own[i, :m])
+                np.minimum(step[:-1], cost[1:] + GAP, out=step[:-1])
+                cost = np.minimum.accumulate(step - off, axis=0) + off
+                for j in range(m - 1, -1, -1):
+                    if lengths[j] != i + 1:
+                        break
+                    out[part[j][1]] = bool(cost[k, j] == part[j][4])
+    return out
+
+
+def _aligned(b: pa.RecordBatch) -> Iterator[tuple[int, str, list[str | None] | str]]:
+    """Row, letters and what is read for each, for the texts of a batch."""
+    both = [(letters_of(x), letters_of(y)) for x, y in zip(b.column("text").to_pylist(), b.column("read").to_pylist())]
+    for i, ((own, read), plain) in enumerate(zip(both, straight(both))):
+        yield i, own, read if plain else align(own, read)
+
+
+def _covered(native: DataFrame, ocr: DataFrame) -> DataFrame:
+    """Observations that readings cover to 0.6, with what is read there."""
+    over = coverage(native, ocr).where(F.col("covered") >= K.GLYPH_COVERAGE)
+    return native.where("font is not null").join(over, ["page_id", "id"]).select("page_id", "id", "font", "text", "read")
+
+
+def _testified(pairs: DataFrame, native: DataFrame, ocr: DataFrame) -> DataFrame:
+    """Pairs whose letter is of a script that can testify on its page."""
+
+    def scripts(df: DataFrame, name: str) -> DataFrame:
+        ch = F.explode(F.array_distinct(F.split(F.regexp_replace("text", r"[^\p{L}]+", ""), "")))
+        return df.select("page_id", ch.alias("ch")).where("ch <> ''").distinct().select("page_id", T.script_of(F.col("ch")).alias("script")).groupBy("page_id").agg(F.collect_set("script").alias(name))
+
+    kana = F.array(F.lit("Hiragana"), F.lit("Katakana"))
+    seen = scripts(ocr.where("recovery_method is null"), "shown").join(scripts(native, "written"), "page_id", "left")
+    blind = F.arrays_overlap("written", kana) & ~F.arrays_overlap("shown", kana)
+    seen = seen.select("page_id", F.when(blind, F.array_remove("shown", "Han")).otherwise(F.col("shown")).alias("shown"))
+    return pairs.join(seen, "page_id").where(F.array_contains("shown", T.script_of(F.col("letter")))).drop("shown")
+
+
 def letter_pairs(native: DataFrame, ocr: DataFrame) -> DataFrame:
     """``page_id``, ``id``, ``font``, ``letter``, ``read`` for every aligned letter.
 
@@ -67,48 +133,62 @@ def letter_pairs(native: DataFrame, ocr: DataFrame) -> DataFrame:
     can't where the page has kana that the reading lacks.
     """
     ship(native.sparkSession)
-    over = coverage(native, ocr).where(F.col("covered") >= K.GLYPH_COVERAGE)
-    df = native.where("font is not null").join(over, ["page_id", "id"]).select("page_id", "id", "font", "text", "read")
     kind = native.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in range(5)]
-            for r in b.to_pylist():
-                own = letters_of(r["text"])
-                for c, got in zip(own, align(own, letters_of(r["read"]))):
+            pages, ids, fonts = (b.column(c).to_pylist() for c in ("page_id", "id", "font"))
+            for i, own, read in _aligned(b):
+                for c, got in zip(own, read):
                     if got is not None and c.isalpha():
-                        for col, v in zip(cols, (r["page_id"], r["id"], r["font"], c, got)):
+                        for col, v in zip(cols, (pages[i], ids[i], fonts[i], c, got)):
                             col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("page_id").type), *[pa.array(c, pa.string()) for c in cols[1:]]], ["page_id", "id", "font", "letter", "read"])
 
-    pairs = df.mapInArrow(run, f"page_id {kind}, id string, font string, letter string, read string")
+    return _testified(_covered(native, ocr).mapInArrow(run, f"page_id {kind}, id string, font string, letter string, read string"), native, ocr)
 
-    def scripts(df: DataFrame, name: str) -> DataFrame:
-        ch = F.explode(F.array_distinct(F.split(F.regexp_replace("text", r"[^\p{L}]+", ""), "")))
-        return df.select("page_id", ch.alias("ch")).where("ch <> ''").select("page_id", T.script_of(F.col("ch")).alias("script")).distinct().groupBy("page_id").agg(F.collect_set("script").alias(name))
 
-    kana = F.array(F.lit("Hiragana"), F.lit("Katakana"))
-    seen = scripts(ocr.where("recovery_method is null"), "shown").join(scripts(native, "written"), "page_id", "left")
-    blind = F.arrays_overlap("written", kana) & ~F.arrays_overlap("shown", kana)
-    seen = seen.select("page_id", F.when(blind, F.array_remove("shown", "Han")).otherwise(F.col("shown")).alias("shown"))
-    return pairs.join(seen, "page_id").where(F.array_contains("shown", T.script_of(F.col("letter")))).drop("shown")
+def letter_counts(native: DataFrame, ocr: DataFrame) -> DataFrame:
+    """``letter_pairs`` counted: ``page_id``, ``font``, ``letter``, ``read``, ``n``. Counts are made where texts are
+    aligned, so no row a letter leaves Python; rows of one pair add up."""
+    ship(native.sparkSession)
+    kind = native.schema["page_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own_counts: dict[tuple, Counter] = defaultdict(Counter)
+            keys = list(zip(b.column("page_id").to_pylist(), b.column("font").to_pylist()))
+            for i, own, read in _aligned(b):
+                own_counts[keys[i]].update(zip(own, read))
+            rows = [(*key, c, got, n) for key, counts in own_counts.items() for (c, got), n in counts.items() if got is not None and c.isalpha()]
+            cols = list(zip(*rows)) if rows else [()] * 5
+            kinds = [b.schema.field("page_id").type, pa.string(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "font", "letter", "read", "n"])
+
+    return _testified(_covered(native, ocr).mapInArrow(run, f"page_id {kind}, font string, letter string, read string, n long"), native, ocr)
+
+
+def _letters(pairs: DataFrame) -> DataFrame:
+    """Each letter of a font of a page: ``occurrences``, the commonest other letter as ``top``, and whether it is
+    ``contradicted``. ``pairs`` come from ``letter_pairs`` or ``letter_counts``."""
+    counts = pairs.groupBy("page_id", "font", "letter", "read").agg((F.sum("n") if "n" in pairs.columns else F.count("*")).alias("n"))
+    other = F.lower("read") != F.lower("letter")
+    totals = counts.groupBy("page_id", "font", "letter").agg(F.sum("n").alias("occurrences"), F.min_by(F.when(other, F.struct("read", "n")), F.when(other, F.struct(-F.col("n"), F.col("read")))).alias("top"))
+    return totals.withColumn("contradicted", F.coalesce((F.col("top.n") >= K.GLYPH_SUBSTITUTIONS) & (F.col("top.n") / F.col("occurrences") >= K.GLYPH_RATE), F.lit(False)))
 
 
 def glyph_mismatches(pairs: DataFrame) -> DataFrame:
     """Contradicted letters of each font of a page (AGG9, WIN4): the commonest other letter, if it
     is read twice or more and in half of the cases."""
-    counts = pairs.groupBy("page_id", "font", "letter", "read").agg(F.count("*").alias("n"))
-    other = F.lower("read") != F.lower("letter")
-    totals = counts.groupBy("page_id", "font", "letter").agg(F.sum("n").alias("occurrences"), F.min_by(F.when(other, F.struct("read", "n")), F.when(other, F.struct(-F.col("n"), F.col("read")))).alias("top"))
-    return totals.where((F.col("top.n") >= K.GLYPH_SUBSTITUTIONS) & (F.col("top.n") / F.col("occurrences") >= K.GLYPH_RATE)).select("page_id", "font", "letter", F.col("top.read").alias("read"), F.col("top.n").alias("substitutions"), "occurrences")
+    return _letters(pairs).where("contradicted").select("page_id", "font", "letter", F.col("top.read").alias("read"), F.col("top.n").alias("substitutions"), "occurrences")
 
 
 def font_audit(pairs: DataFrame) -> DataFrame:
-    """Fonts with contradicted letters: share, letters compared, and whether to withhold the text."""
-    bad = glyph_mismatches(pairs).groupBy("page_id", "font").agg(F.sum("substitutions").alias("substitutions"), F.array_sort(F.collect_list(F.struct("letter", "read", "substitutions", "occurrences"))).alias("letters"))
-    all_ = pairs.groupBy("page_id", "font").agg(F.count("*").alias("letter_count"))
-    df = bad.join(all_, ["page_id", "font"]).withColumn("share", F.col("substitutions") / F.col("letter_count"))
+    """Fonts with contradicted letters: share, letters compared, and whether to withhold the text; the pairs are read once."""
+    bad = F.struct("letter", F.col("top.read").alias("read"), F.col("top.n").alias("substitutions"), "occurrences")
+    df = _letters(pairs).groupBy("page_id", "font").agg(F.sum(F.when(F.col("contradicted"), F.col("top.n"))).alias("substitutions"), F.array_sort(F.collect_list(F.when(F.col("contradicted"), bad))).alias("letters"), F.sum("occurrences").alias("letter_count"))
+    df = df.where("substitutions is not null").withColumn("share", F.col("substitutions") / F.col("letter_count"))
     return df.withColumn("withhold", (F.col("share") >= K.WITHHOLD_SHARE) & (F.col("letter_count") >= K.WITHHOLD_LETTERS)).drop("substitutions")
 
 
