@@ -75,3 +75,59 @@ def test_repeated_urls_are_learnt_once(spark):
     rows = [("allow", "http://a.org/same")] * 300 + [("allow", f"http://b{i}.org/{i}") for i in range(50)] + [("block", "http://x.com/de/" + "z" * 9000)]
     got = U._sample(spark.createDataFrame(rows, "action string, url string").withColumn("host", F.lit("clash")), 100)
     assert len(got["allow"]) == len(set(got["allow"])) == 51 and [len(u) for u in got["block"]] == [U.STRETCH]
+
+
+def expected_scores(urls, folds, order, difference):
+    """Scores by whole models of all different labelled URLs; the cut from differences without a URL's own fold."""
+    import math
+
+    labels = {u: slow(u)[3] for u in urls if u and slow(u)[3]}
+    words = {"allow": U.ACCEPTED_WORDS, "block": U.REJECTED_WORDS}
+    texts = lambda own, but: [u.encode() for u in labels if labels[u] == own and folds[u] != but] + [w.encode() for w in words[own] for _ in range(8)]
+    without = {but: [difference(texts(own, but), order) for own in ("allow", "block")] for but in (0, 1, 2, 3, None)}
+    x = lambda u, but: (without[but][0](u.encode()) - without[but][1](u.encode())) / (len(u.encode()) + 1)
+    cut, slope = U.RatioFilter._calibrate([(x(u, folds[u]), int(a == "allow")) for u, a in labels.items()])
+    return {u: 1 / (1 + math.exp(-max(-30, min(30, slope * (x(u or "", None) - cut))))) for u in urls}
+
+
+def folds_of(spark, urls):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(u,) for u in urls], "url string")
+    return {r.url: r.fold for r in rows.select("url", F.pmod(F.xxhash64("url"), F.lit(U.FOLDS)).alias("fold")).collect()}
+
+
+def test_byte_strings_do_not_depend_on_pieces(monkeypatch):
+    import pyarrow as pa
+
+    urls = [None, "", "http://a.org/é", "x" * 40, "", "http://b.com/" + "y" * 9, None]
+    for piece in (1, 7, 16, 1 << 19):
+        monkeypatch.setattr(U, "PIECE", piece)
+        for order in (0, 4, 6):
+            got, want = [], []
+            for keys, rows in U._cuts(pa.array(urls).slice(1), order):
+                got += zip(rows.tolist(), keys.tolist())
+            for row, u in enumerate(urls[1:]):
+                t = b"\x02" + (u or "").encode() + b"\x03"
+                for i in range(1, len(t)):
+                    own = t[max(0, i - order) : i + 1]
+                    want.append((row, (len(own) << 8 * (order + 1)) + int.from_bytes(own)))
+            assert got == want
+    assert list(U._cuts(pa.array([], pa.string()), 4)) == []
+
+
+def test_scores_equal_brute_force(spark):
+    urls = [None, "", "x", "a://é\x02\x00\x03/", "http://new.net/wiki/1", "http://lib0.org/" + "ab" * 150]
+    urls += [f"http://lib{i}.org/a{i}" for i in range(9)] + [f"http://x.com/de/{i * 7}" for i in range(9)] + ["http://x.com/de/7"] * 5
+    for order in (0, 3):
+        difference = lambda texts, order: lambda raw: slow_log_likelihood(texts, order, raw)
+        want = expected_scores(urls, folds_of(spark, urls), order, difference)
+        got = U.judge_urls(spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], SCHEMA), order=order).collect()
+        assert len(got) == len(urls) and all(abs(r.score - want[urls[r.page_id]]) < 1e-6 for r in got)
+
+
+def test_models_learn_from_all_labelled_urls(spark):
+    urls = [f"http://a{i * 7919 % 100003}.org/{i}" for i in range(5600)] + [f"http://b{i * 104729 % 99991}.com/de/{i}" for i in range(5600)] + [f"http://a{i}.net/b" for i in range(40)]
+    want = expected_scores(urls, folds_of(spark, urls), 2, lambda texts, order: U.MarkovModel(texts, order).log_likelihood)
+    got = U.judge_urls(spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], SCHEMA), order=2).collect()
+    assert len(got) == len(urls) and all(abs(r.score - want[urls[r.page_id]]) < 1e-6 for r in got)
