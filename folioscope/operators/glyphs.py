@@ -21,9 +21,9 @@ _BLANK = re.compile(r"\s+")
 GAP = 2
 
 
-def letters_of(text: str) -> str:
+def letters_of(text: str, fold: bool = True) -> str:
     """Folded text without white space."""
-    return _BLANK.sub("", unicodedata.normalize("NFKC", text or ""))
+    return _BLANK.sub("", unicodedata.normalize("NFKC", text or "") if fold else text or "")
 
 
 def align(native: str, read: str) -> list[str | None]:
@@ -98,11 +98,12 @@ def straight(pairs: list[tuple[str, str]]) -> list[bool]:
     return out
 
 
-def _aligned(b: pa.RecordBatch) -> Iterator[tuple[int, str, list[str | None] | str]]:
+def _aligned(b: pa.RecordBatch, fold: bool, places: bool) -> Iterator[tuple[int, str, list[str | None] | str]]:
     """Row, letters and what is read for each, for the texts of a batch."""
-    both = [(letters_of(x), letters_of(y)) for x, y in zip(b.column("text").to_pylist(), b.column("read").to_pylist())]
-    for i, ((own, read), plain) in enumerate(zip(both, straight(both))):
-        yield i, own, read if plain else align(own, read)
+    both = [(letters_of(x, fold), letters_of(y, fold)) for x, y in zip(b.column("text").to_pylist(), b.column("read").to_pylist())]
+    plain = [len(x) == len(y) for x, y in both] if places else straight(both)
+    for i, (own, read) in enumerate(both):
+        yield i, own, read if plain[i] else align(own, read)
 
 
 def _covered(native: DataFrame, ocr: DataFrame) -> DataFrame:
@@ -125,12 +126,14 @@ def _testified(pairs: DataFrame, native: DataFrame, ocr: DataFrame) -> DataFrame
     return pairs.join(seen, "page_id").where(F.array_contains("shown", T.script_of(F.col("letter")))).drop("shown")
 
 
-def letter_pairs(native: DataFrame, ocr: DataFrame) -> DataFrame:
+def letter_pairs(native: DataFrame, ocr: DataFrame, *, fold: bool = True, places: bool = False) -> DataFrame:
     """``page_id``, ``id``, ``font``, ``letter``, ``read`` for every aligned letter.
 
     Only observations that readings cover to 0.6 are aligned (the filter comes before the
     costly part). A script that the reading never shows on a page can't testify, and Han
-    can't where the page has kana that the reading lacks.
+    can't where the page has kana that the reading lacks. With ``places`` texts of one length
+    are read place by place, as a font shows them whose map swaps letters one for one; gaps,
+    which on words that repeat can be cheaper than many swaps, are for other lengths only.
     """
     ship(native.sparkSession)
     kind = native.schema["page_id"].dataType.simpleString()
@@ -139,7 +142,7 @@ def letter_pairs(native: DataFrame, ocr: DataFrame) -> DataFrame:
         for b in batches:
             cols: list[list] = [[] for _ in range(5)]
             pages, ids, fonts = (b.column(c).to_pylist() for c in ("page_id", "id", "font"))
-            for i, own, read in _aligned(b):
+            for i, own, read in _aligned(b, fold, places):
                 for c, got in zip(own, read):
                     if got is not None and c.isalpha():
                         for col, v in zip(cols, (pages[i], ids[i], fonts[i], c, got)):
@@ -149,7 +152,7 @@ def letter_pairs(native: DataFrame, ocr: DataFrame) -> DataFrame:
     return _testified(_covered(native, ocr).mapInArrow(run, f"page_id {kind}, id string, font string, letter string, read string"), native, ocr)
 
 
-def letter_counts(native: DataFrame, ocr: DataFrame) -> DataFrame:
+def letter_counts(native: DataFrame, ocr: DataFrame, *, fold: bool = True, places: bool = False) -> DataFrame:
     """``letter_pairs`` counted: ``page_id``, ``font``, ``letter``, ``read``, ``n``. Counts are made where texts are
     aligned, so no row a letter leaves Python; rows of one pair add up."""
     ship(native.sparkSession)
@@ -159,7 +162,7 @@ def letter_counts(native: DataFrame, ocr: DataFrame) -> DataFrame:
         for b in batches:
             own_counts: dict[tuple, Counter] = defaultdict(Counter)
             keys = list(zip(b.column("page_id").to_pylist(), b.column("font").to_pylist()))
-            for i, own, read in _aligned(b):
+            for i, own, read in _aligned(b, fold, places):
                 own_counts[keys[i]].update(zip(own, read))
             rows = [(*key, c, got, n) for key, counts in own_counts.items() for (c, got), n in counts.items() if got is not None and c.isalpha()]
             cols = list(zip(*rows)) if rows else [()] * 5
